@@ -10,8 +10,8 @@ i AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark),
 s AS (SELECT item_id, w, least(13, len(w)) AS n FROM i WHERE len(w) > 0),
-at AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM s),
-win AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS t FROM at),
+spot AS (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM s),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS t FROM spot),
 sizes AS (SELECT DISTINCT n FROM win),
 p AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n),
 g AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS t FROM p),
@@ -65,9 +65,9 @@ s AS (
   SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[k] || ' ' || w[k + 1] END AS x
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS k FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
 link AS (
-  SELECT a, b FROM pair JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * both >= 80 * (x.n + y.n - both)),
+  SELECT a, b FROM pair JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * common >= 80 * (x.n + y.n - common)),
 e AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT doc_id AS node, doc_id AS seen FROM n UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.seen = e.a),
 c AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
