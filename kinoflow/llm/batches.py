@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 
 def pieces(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
