@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinoflow.llm.batches import flat, lists, pieces
+from kinoflow.llm.word_cache import joined
 
 BLANK = "▁"
 BASE = np.uint64(0x100000001B3)
@@ -58,7 +59,7 @@ class Encoder:
     prefix hashes; it is looked up among the sorted hashes of all pieces. Of equal sums the longer last piece wins.
     """
 
-    def __init__(self, vocabulary: Pieces, most_cached: int = 300_000):
+    def __init__(self, vocabulary: Pieces):
         self.v = vocabulary
         self.longest = max(map(len, vocabulary.words))
         self.powers = np.array([pow(int(BASE), i, 1 << 64) for i in range(self.longest + 1)], np.uint64)
@@ -72,9 +73,10 @@ class Encoder:
             raise ValueError("two pieces have one hash")
         self.sorted_scores = vocabulary.scores[self.order]
         self.sorted_ids = vocabulary.ids[self.order]
+        self.maybe = np.zeros(1 << 20, bool)  # whether any key begins with these 20 bits
+        self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.unknown = float(vocabulary.scores.min()) - 10.0
-        self.cache: dict[str, bytes] = {}
-        self.most_cached = most_cached
+        self.key = (len(vocabulary.words), hash(vocabulary.words), float(vocabulary.scores.sum()))
         several = {c for w in vocabulary.words if len(w) > 1 for c in w}
         self.newline_alone = "\n" not in several  # then a line's end also ends a word
         self.starts = np.concatenate([[0], np.cumsum([len(x) for x in vocabulary.spelled])]).astype(np.int64)
@@ -102,14 +104,22 @@ class Encoder:
         for end in range(1, n + 1):
             for size in range(min(end, self.longest), 0, -1):
                 key = self._key(hashes[end] - hashes[end - size] * self.powers[size], size)
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                known = self.keys[at] == key
-                gain = np.where(known, self.sorted_scores[at], self.unknown if size == 1 else -np.inf)
-                total = best[end - size] + gain
-                better = total > best[end]
-                best[end][better] = total[better]
-                back[end][better] = size
-                piece[end][better] = np.where(known, self.sorted_ids[at], -1)[better]
+                near = np.flatnonzero(self.maybe[(key >> np.uint64(44)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(self.keys, key[near]), len(self.keys) - 1)
+                known = self.keys[at] == key[near]
+                near, at = near[known], at[known]
+                if size == 1:  # bytes, where no piece covers the character
+                    total = best[end - 1] + self.unknown
+                    total[near] = best[end - 1, near] + self.sorted_scores[at]
+                    ids = np.full(len(words), -1, np.int32)
+                    ids[near] = self.sorted_ids[at]
+                    better = np.flatnonzero(total > best[end])
+                    best[end, better], back[end, better], piece[end, better] = total[better], 1, ids[better]
+                elif len(near):
+                    total = best[end - size, near] + self.sorted_scores[at]
+                    better = total > best[end, near]
+                    near, at = near[better], at[better]
+                    best[end, near], back[end, near], piece[end, near] = total[better], size, self.sorted_ids[at]
         at, rows = np.full(len(words), n), np.arange(len(words))
         steps, ends = [], []
         while (at > 0).any():
@@ -118,19 +128,14 @@ class Encoder:
             ends.append(at)
             at = np.where(live, at - back[at, rows], 0)
         trail, ends = np.array(steps[::-1]).T, np.array(ends[::-1]).T
-        plain = (trail != -1).all(axis=1)
-        out = []
-        for i, word in enumerate(words):
-            ids = trail[i]
-            if plain[i]:
-                out.append(ids[ids >= 0].astype("<i4").tobytes())
-            else:
-                parts = [
-                    [k] if k >= 0 else self.v.byte_ids[list(word[e - 1].encode())].tolist()
-                    for k, e in zip(ids.tolist(), ends[i].tolist(), strict=True)
-                    if k != -2
-                ]
-                out.append(np.array(sum(parts, []), "<i4").tobytes())
+        used = trail != -2
+        data, lasts = trail[used].astype("<i4").tobytes(), (4 * np.cumsum(used.sum(axis=1))).tolist()
+        out = [data[i:j] for i, j in zip([0, *lasts[:-1]], lasts, strict=True)]
+        for i in np.flatnonzero((trail == -1).any(axis=1)).tolist():
+            word, parts = words[i], []
+            for k, e in zip(trail[i].tolist(), ends[i].tolist(), strict=True):
+                parts += [k] if k >= 0 else [] if k == -2 else self.v.byte_ids[list(word[e - 1].encode())].tolist()
+            out[i] = np.array(parts, "<i4").tobytes()
         return out
 
     def words(self, text: str) -> list[str]:
@@ -144,18 +149,19 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [self.words(t or "") for t in texts]
-        if len(self.cache) > self.most_cached:
-            self.cache.clear()
+        return [np.frombuffer(x, "<i4") for x in joined(split, self._encode_words, self.key)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
         by_size: dict[int, list[str]] = {}
-        for word in {w for s in split for w in s if w not in self.cache}:
+        for word in words:
             by_size.setdefault(len(word), []).append(word)
+        done: dict[str, bytes] = {}
         for n, group in by_size.items():
             step = max(1, (1 << 19) // n)
             for k in range(0, len(group), step):
                 part = group[k : k + step]
-                self.cache.update(zip(part, self._best(part), strict=True))
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), "<i4") for s in split]
+                done.update(zip(part, self._best(part), strict=True))
+        return [done[w] for w in words]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 of the text that ids spell: pieces and bytes joined, the first blank taken off."""
