@@ -6,5 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from kinoflow.plans import queries as q
+from kinoflow.plans.oracles import ORACLES
+
+#: phash_distance, edge_delta and cascade_events have no SQL; plain restatements in the tests stand in for it.
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    name: getattr(q, name)
+    for name in (*ORACLES, "phash_distance", "edge_delta", "cascade_events")
+}
