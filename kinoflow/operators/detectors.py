@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kinoflow.operators.features import compute_features
@@ -10,7 +10,10 @@ from kinoflow.operators.fold import fold_streams
 from kinoflow.operators.gates import CUTS, Fade, FlashFilter, ScoredSpacing, Spacing
 from kinoflow.options import AdaptiveOptions, ContentOptions, HistogramOptions, PhashOptions, ThresholdOptions
 
-BY_SEQ = Window.partitionBy("stream_id").orderBy("seq")
+
+
+def by_seq() -> WindowSpec:
+    return Window.partitionBy("stream_id").orderBy("seq")
 
 
 def spaced(scored: DataFrame, options, machine=Spacing) -> DataFrame:
@@ -43,9 +46,9 @@ def fade_cuts(means: DataFrame, options: ThresholdOptions = ThresholdOptions())
     if options.min_duration > 0:
         return fold_streams(means, lambda: Fade(options), CUTS)
     dark = F.col("mean") < options.threshold if options.method == "floor" else F.col("mean") >= options.threshold
-    rows = means.withColumn("dark", dark & ~F.isnan("mean")).withColumn("was", F.lag("dark").over(BY_SEQ))
+    rows = means.withColumn("dark", dark & ~F.isnan("mean")).withColumn("was", F.lag("dark").over(by_seq()))
     rows = rows.withColumn("went", F.when(F.col("dark") & F.coalesce(~F.col("was"), F.lit(True)), F.col("pts")))
-    rows = rows.withColumn("out_at", F.last("went", True).over(BY_SEQ))
+    rows = rows.withColumn("out_at", F.last("went", True).over(by_seq()))
     bias = min(max(options.fade_bias, -1.0), 1.0)
     at = F.col("out_at") + ((F.col("pts") - F.col("out_at")) * (1 + bias) / 2).cast("long")
     cuts = rows.where("was and not dark").select("stream_id", at.alias("pts"), F.col("mean").cast("double").alias("score"))
@@ -85,7 +88,7 @@ def flash_filtered(scored: DataFrame, options: ContentOptions) -> DataFrame:
         hit = (F.col("score") >= options.threshold) & ~F.isnan("score")
         return scored.where(hit).select("stream_id", "pts", F.col("score").cast("double").alias("score"))
     if "width" in scored.columns:
-        changed = (F.lag("width").over(BY_SEQ) != F.col("width")) | (F.lag("height").over(BY_SEQ) != F.col("height"))
+        changed = (F.lag("width").over(by_seq()) != F.col("width")) | (F.lag("height").over(by_seq()) != F.col("height"))
         scored = scored.withColumn("reset", F.coalesce(changed, F.lit(False)))
     return fold_streams(scored, lambda: FlashFilter(options), CUTS)
 
@@ -95,7 +98,7 @@ def adaptive_ratios(scored: DataFrame, options: AdaptiveOptions = AdaptiveOption
     255; null where a side is short."""
     w = options.window_width
     rows = scored.where(F.col("score").isNotNull())
-    around = BY_SEQ.rowsBetween(-w, w)
+    around = by_seq().rowsBetween(-w, w)
     mean = (F.sum("score").over(around) - F.col("score")) / (2.0 * w)
     still = F.when(F.col("score") >= options.min_content_val, 255.0).otherwise(0.0)
     ratio = F.when(F.abs(mean) < 1e-5, still).otherwise(F.least(F.col("score") / F.when(F.abs(mean) >= 1e-5, mean), F.lit(255.0)))

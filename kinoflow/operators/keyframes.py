@@ -41,7 +41,7 @@ def shot_buckets(shots: DataFrame, options: SelectOptions = SelectOptions()) ->
 
 
 def effective_floor(frames: DataFrame, options: SelectOptions = SelectOptions(), by=("stream_id", "start_pts")) -> DataFrame:
-    """(by..., floor): the least sharpness of a strict choice in each shot. ``frames`` hold their shot and its metrics.
+    """(by..., floor): the least sharpness of a strict choice in each shot, from its :func:`placed_frames`.
 
     It is min_sharpness, or a percentile of the shot's frames that pass the gate if that is lower and there are enough
     of them; at most 4096, evenly spaced in time, are looked at.
@@ -79,6 +79,14 @@ def shot_of(frames: DataFrame, shots: DataFrame) -> DataFrame:
     return rows.select(*names, "shot.start_pts", "shot.end_pts")
 
 
+def placed_frames(frames: DataFrame, shots: DataFrame, options: SelectOptions = SelectOptions()) -> DataFrame:
+    """Frames with their shot and bucket; those in a shot's margins are left out. Buckets tile what the margins leave, so
+    a frame has one at most."""
+    inside = shot_of(frames.select("stream_id", "seq", "pts", *METRICS), shots)
+    buckets = shot_buckets(shots, options).select("stream_id", "start_pts", "bucket", "lo", "hi")
+    return inside.join(buckets, ["stream_id", "start_pts"]).where("pts >= lo and pts < hi")
+
+
 def select_keyframes(frames: DataFrame, shots: DataFrame, options: SelectOptions = SelectOptions()) -> DataFrame:
     """(stream_id, start_pts, end_pts, bucket, pts, seq, strict, metrics...): the chosen frame of each bucket.
 
@@ -86,12 +94,8 @@ def select_keyframes(frames: DataFrame, shots: DataFrame, options: SelectOptions
     of sensible metrics is the fallback. Ties go to the earliest. ``frames`` hold pts, seq and the metrics; ``shots``
     start_pts, end_pts, tb_num, tb_den.
     """
-    inside = shot_of(frames.select("stream_id", "seq", "pts", *METRICS), shots)
-    floors = effective_floor(inside, options)
-    buckets = shot_buckets(shots, options).select("stream_id", "start_pts", "bucket", "lo", "hi")
-    # bucket ends tile the shot, so a frame's bucket is the one whose bounds hold it
-    placed = inside.join(buckets, ["stream_id", "start_pts"]).where("pts >= lo and pts < hi")
-    placed = placed.join(floors, ["stream_id", "start_pts"])
+    placed = placed_frames(frames, shots, options)
+    placed = placed.join(effective_floor(placed, options), ["stream_id", "start_pts"])
     m = metric_columns()
     quality = composite_quality(m, options.weights)
     fine = ~F.isnan(quality) & (F.abs(quality) < F.lit(float("inf")).cast("float"))

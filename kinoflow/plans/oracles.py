@@ -88,10 +88,12 @@ bk AS (SELECT stream_id, start_pts, CAST(bucket AS INT) AS bucket,
     start_pts + CAST(trunc(CASE WHEN cl >= ch OR trunc(cl * span) >= trunc(ch * span) THEN high ELSE ch END * span) AS BIGINT) AS hi FROM bc)"""
 FLOOR = f"""{METRICS}, {BUCKETS},
 ins AS (SELECT jd.*, st.start_pts FROM jd JOIN fr USING (stream_id, seq) JOIN st ON st.stream_id = fr.stream_id AND st.shot_key = fr.shot_key),
-good AS (SELECT stream_id, start_pts, list(sharpness ORDER BY sharpness) AS v FROM ins WHERE NOT rejected GROUP BY ALL),
-fl AS (SELECT st.stream_id, st.start_pts, CASE WHEN len(v) >= 3
+pl AS (SELECT ins.*, bucket FROM ins JOIN bk USING (stream_id, start_pts) WHERE pts >= lo AND pts < hi),
+good AS (SELECT stream_id, start_pts, list(sharpness ORDER BY sharpness) AS v FROM pl WHERE NOT rejected GROUP BY ALL),
+sp AS (SELECT DISTINCT stream_id, start_pts FROM pl),
+fl AS (SELECT sp.stream_id, sp.start_pts, CASE WHEN len(v) >= 3
     THEN least(4000::REAL, v[least(CAST(trunc(len(v) * 0.25::DOUBLE) AS BIGINT), len(v) - 1) + 1]) ELSE 4000::REAL END AS floor
-  FROM st LEFT JOIN good USING (stream_id, start_pts))"""
+  FROM sp LEFT JOIN good USING (stream_id, start_pts))"""
 HCAND = "SELECT stream_id, seq * 40 AS pts, correlation FROM pc WHERE correlation <= 0.5"
 KEEP = "SELECT stream_id, pts FROM cuts"
 
@@ -148,8 +150,7 @@ ORACLES = {
     "effective_floor": f"WITH {FLOOR} SELECT stream_id, start_pts, CAST(floor AS DOUBLE) AS floor FROM fl",
     "shot_buckets": f"WITH {FR}, {BUCKETS} SELECT * FROM bk",
     "keyframe_choice": f"""WITH {FLOOR},
-      ch AS (SELECT ins.*, bucket, NOT rejected AND sharpness >= floor AS strict FROM ins JOIN bk USING (stream_id, start_pts)
-        JOIN fl USING (stream_id, start_pts) WHERE pts >= lo AND pts < hi),
+      ch AS (SELECT pl.*, NOT rejected AND sharpness >= floor AS strict FROM pl JOIN fl USING (stream_id, start_pts)),
       rk AS (SELECT *, row_number() OVER (PARTITION BY stream_id, start_pts, bucket
         ORDER BY strict DESC, CASE WHEN strict THEN quality ELSE sharpness END DESC, pts, seq) AS nth FROM ch)
       SELECT stream_id, start_pts, bucket, pts, strict, CAST(quality AS DOUBLE) AS quality FROM rk WHERE nth = 1""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from kinoflow.functions import columns as C
@@ -13,7 +13,10 @@ from kinoflow.sources.frames import event_series, lineitem_frames, lineitem_rows
 
 MS = 1_000_000
 GAP = 200 * MS
-BY_SEQ = Window.partitionBy("stream_id").orderBy("seq")
+
+
+def by_seq() -> WindowSpec:
+    return Window.partitionBy("stream_id").orderBy("seq")
 KEY = ("stream_id", "seq")
 HIST = HistogramOptions(bins=16, min_duration=GAP)
 LUMA_ONLY = (0.0, 0.0, 1.0, 0.0)
@@ -116,7 +119,7 @@ def fade_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_series(spark, sf_dir)
-    return rows.withColumn("score", F.abs(F.col("value") - F.lag("value").over(BY_SEQ)))
+    return rows.withColumn("score", F.abs(F.col("value") - F.lag("value").over(by_seq())))
 
 
 def adaptive_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +152,7 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def effective_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inside = keyframes.shot_of(_with_metrics(spark, sf_dir).select("stream_id", "seq", "pts", *C.METRICS), shots(spark, sf_dir))
+    inside = keyframes.placed_frames(_with_metrics(spark, sf_dir), shots(spark, sf_dir), SELECT)
     return keyframes.effective_floor(inside, SELECT).withColumn("floor", F.col("floor").cast("double"))
 
 
