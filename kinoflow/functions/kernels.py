@@ -45,8 +45,16 @@ def to_hsv(packed: np.ndarray, order: str) -> tuple[np.ndarray, np.ndarray, np.n
 
 def histogram(planes: np.ndarray, bins: int) -> np.ndarray:
     n = len(planes)
-    at = planes.reshape(n, -1).astype(np.int64) * bins // 256 + bins * np.arange(n)[:, None]
-    return np.bincount(at.reshape(-1), minlength=n * bins).reshape(n, bins)
+    flat = planes.reshape(n, -1)
+    if flat.shape[1] >= 4096:  # large frames one by one: counts of the 256 values, then of the bins that hold them
+        values = np.stack([np.bincount(x, minlength=256) for x in flat])
+    else:
+        values = np.bincount((flat + 256 * np.arange(n)[:, None]).reshape(-1), minlength=n * 256).reshape(n, 256)
+    if bins == 256:
+        return values
+    out = np.zeros((n, bins), values.dtype)
+    np.add.at(out, (slice(None), np.arange(256) * bins // 256), values)
+    return out
 
 
 def mean(planes: np.ndarray) -> np.ndarray:
@@ -146,10 +154,10 @@ def motion_blur(planes: np.ndarray) -> np.ndarray:
 
 def mean_abs_diff(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Frame by frame; NaN for frames without pixels."""
-    x, y = a.reshape(len(a), -1).astype(np.int16), b.reshape(len(b), -1).astype(np.int16)
+    x, y = a.reshape(len(a), -1), b.reshape(len(b), -1)
     if not x.shape[1]:
         return np.full(len(a), np.nan)
-    return np.abs(x - y).sum(axis=1, dtype=np.int64) / x.shape[1]
+    return (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) / x.shape[1]
 
 
 def correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -110,7 +110,7 @@ def test_frame_checks(spark):
     cases = {
         None: good, "StrideTooSmall": change(luma_stride=1), "DataTooShort": change(luma=b"123"), "ZeroDimensions": change(width=0),
         "ZeroTimebase": change(tb_num=0), "FrameTooLarge": change(width=2000, height=2000, luma=None, luma_stride=2000),
-        "WidthOverflow": change(width=1 << 31 - 1, rgb=b"x"), "PlaneTooShort:saturation": change(hue=b"1234", sat=b"1", val=b"1234"),
+        "WidthOverflow": change(width=(1 << 31) - 1, luma=None, rgb=b"x"), "PlaneTooShort:saturation": change(hue=b"1234", sat=b"1", val=b"1234"),
     }
     for error, row in cases.items():
         frame = spark.createDataFrame([row], S.FRAMES)
