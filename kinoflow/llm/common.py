@@ -45,6 +45,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lowers the session's Arrow batch size to ``rows``. Whole texts make the default of 10,000 rows tens of MB, and
+    the buffers that grow to hold them stay with the executor's process."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) <= 0 or int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else. Texts of ASCII alone take the faster built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

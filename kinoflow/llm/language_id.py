@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinoflow.llm.batches import pieces
-from kinoflow.llm.common import kept, let
+from kinoflow.llm.common import kept, let, small_batches
 
 BUCKETS = 1 << 16
 #: What an address suffix says.
@@ -50,6 +50,7 @@ def fit(
     chosen by a hash of their id, for the ``most`` most frequent languages. Trigrams are counted in the cluster; at
     most BUCKETS * languages sums come to the driver. Rows with a null text, id or language aren't used.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = rows.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
     if not counts:
@@ -162,6 +163,7 @@ def identify(
     if not n:
         return docs.select(*names, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"),
                            F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("accepted"))
+    small_batches(docs.sparkSession)
     score = scorer(model)
     text = F.col(text_col)
     rows = docs.select(*names).withColumn("_ll", score(visible(text))).withColumn("_post", softmax_of(F.col("_ll")))

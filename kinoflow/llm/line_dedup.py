@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinoflow.llm.batches import flat, lists
-from kinoflow.llm.common import ascii_lower, kept, let
+from kinoflow.llm.common import ascii_lower, kept, let, small_batches
 from kinoflow.llm.perfect_hash import Shard
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -108,6 +108,7 @@ def dedup_lines(
     Null id: counts as a row, is never the keeper; keys that only such rows hold stay. Empty table: no rows. All other
     columns stay; columns named n_lines or n_dropped are replaced.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinoflow.llm.batches import lists, pieces
-from kinoflow.llm.common import cut, kept
+from kinoflow.llm.common import cut, kept, small_batches
 from kinoflow.llm.components import connected_components
 from kinoflow.llm.hashing import WordHashes, mix32, mix64, word_shingles
 
@@ -176,6 +176,7 @@ def near_duplicates(
     links; each row is returned. Null ids: kept, component_id null, linked with nothing. Empty table: no rows. Other
     columns don't matter.
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signs = kept(
         base.mapInArrow(
