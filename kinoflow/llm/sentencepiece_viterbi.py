@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinoflow.llm.batches import flat, lists, pieces
-from kinoflow.llm.word_cache import joined
+from kinoflow.llm.common import small_batches
+from kinoflow.llm.word_cache import encode_words, per_text
 
 BLANK = "▁"
 BASE = np.uint64(0x100000001B3)
@@ -138,21 +138,30 @@ class Encoder:
             out[i] = np.array(parts, "<i4").tobytes()
         return out
 
-    def words(self, text: str) -> list[str]:
-        """The parts of a text that pieces don't cross: blanks and what follows them."""
-        if not text:
-            return []
-        marked = BLANK + text.replace(" ", BLANK)
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each). A word is a run of blanks with what follows it;
+        no piece crosses from one to the next, nor a line's end where that stands alone in the vocabulary."""
+        sign = BLANK.encode()
+        marked = [b" " + (t.replace(sign, b" ") if sign in t else t) if t else b"" for t in texts]
+        data = b"".join(marked)
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in marked])]).astype(np.int64)
+        if not data:
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        raw = np.frombuffer(data, np.uint8)
+        begins = raw == 32
+        begins[1:] &= raw[:-1] != 32
         if self.newline_alone:
-            return re.findall(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+", marked)
-        return re.findall(f"{BLANK}*[^{BLANK}]+|{BLANK}+", marked)
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self.words(t or "") for t in texts]
-        return [np.frombuffer(x, "<i4") for x in joined(split, self._encode_words, self.key)]
+            line = raw == 10
+            begins |= line
+            begins[1:] |= line[:-1]
+        begins[bounds[:-1][np.diff(bounds) > 0]] = True
+        starts = np.flatnonzero(begins)
+        ids, counts = encode_words(data, starts, np.append(starts[1:], len(raw)), self._encode_words, self.key)
+        return ids.view(np.int32), per_text(counts, starts, bounds)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         by_size: dict[int, list[str]] = {}
+        words = [w.replace(" ", BLANK) for w in words]
         for word in words:
             by_size.setdefault(len(word), []).append(word)
         done: dict[str, bytes] = {}
@@ -195,20 +204,25 @@ def encode(docs: DataFrame, vocabulary: Pieces, text_col: str = "text", ids_col:
     Null or empty text: no ids. Long texts are worked on word by word; a word takes time in proportion to its length.
     All other columns stay; a column of the new name is replaced. The vocabulary is broadcast (its size is fixed).
     """
+    small_batches(docs.sparkSession)
     get = _encoder(docs.sparkSession.sparkContext.broadcast(vocabulary))
 
     @F.arrow_udf("array<int>")
     def run(text: pa.Array) -> pa.Array:
-        encoder, found = get(), []
-        for a, b in pieces(text.cast(pa.large_binary())):
-            found += encoder.encode(text.slice(a, b - a).to_pylist())
-        return lists(np.concatenate([*found, np.empty(0, "<i4")]).astype(np.int32), [len(x) for x in found])
+        encoder, found, counts = get(), [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        data = text.cast(pa.large_binary())
+        for a, b in pieces(data):
+            ids, n = encoder.encode(data.slice(a, b - a).to_pylist())
+            found.append(ids)
+            counts.append(n)
+        return lists(np.concatenate(found), np.concatenate(counts))
 
     return docs.withColumn(ids_col, run(F.col(text_col)))
 
 
 def decode(docs: DataFrame, vocabulary: Pieces, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Adds the text that a column of ids spells; null or no ids: empty. Bytes that are no UTF-8 become U+FFFD."""
+    small_batches(docs.sparkSession)
     get = _encoder(docs.sparkSession.sparkContext.broadcast(vocabulary))
 
     @F.arrow_udf("string")

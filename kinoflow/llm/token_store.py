@@ -17,6 +17,7 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,65 +26,88 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinoflow.llm.batches import pieces
-from kinoflow.llm.common import kept
+from kinoflow.llm.common import kept, small_batches
+from kinoflow.llm.word_cache import encode_words, per_text
 
 WINDOW, MASK, LEAST, MOST = 16, 0x1FF, 64, 4096
 FANOUT = 256
 CHUNKS = "array<struct<hash:binary,n:int,data:binary>>"
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Where chunks of a run of ids end; every chunk but the last has LEAST to MOST ids."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def marks_of(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash of the last WINDOW ids asks for a cut. A place's hash covers no id more than
+    WINDOW before it, and cuts are LEAST > WINDOW ids from a document's start, so documents may lie end to end."""
     x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(31)
-    rolled = np.zeros(n, np.uint64)
-    for j in range(min(WINDOW, n)):
-        rolled[j:] += x[: n - j] * np.uint64(pow(0x100000001B3, j, 1 << 64))
+    rolled = np.zeros(len(x), np.uint64)
+    for j in range(min(WINDOW, len(x))):
+        rolled[j:] += x[: len(x) - j] * np.uint64(pow(0x100000001B3, j, 1 << 64))
     rolled ^= rolled >> np.uint64(33)
-    marks = np.flatnonzero((rolled & np.uint64(MASK)) == 0) + 1
-    out, last = [], 0
-    for mark in [*marks.tolist(), n]:
-        while mark - last > MOST:
+    return np.flatnonzero((rolled & np.uint64(MASK)) == 0) + 1
+
+
+def cut_points(ids: np.ndarray, ends: list[int] | None = None) -> list[list[int]]:
+    """Where the chunks of each document end, for documents whose ids lie end to end; ``ends`` has the documents' ends.
+
+    Every chunk but a document's last has LEAST to MOST ids.
+    """
+    ends = [len(ids)] if ends is None else ends
+    marks = marks_of(ids)
+    bounds = np.searchsorted(marks, [0, *ends])
+    out, begin = [], 0
+    for k, end in enumerate(ends):
+        cuts, last = [], begin
+        for mark in marks[bounds[k] : bounds[k + 1]].tolist():
+            while mark - last > MOST:
+                last += MOST
+                cuts.append(last)
+            if mark - last >= LEAST:
+                cuts.append(mark)
+                last = mark
+        while end - last > MOST:
             last += MOST
-            out.append(last)
-        if mark - last >= LEAST:
-            out.append(mark)
-            last = mark
-    if last < n:
-        out.append(n)
+            cuts.append(last)
+        if last < end or not cuts:
+            cuts.append(end)
+        out.append(cuts)
+        begin = end
     return out
 
 
 class WordEncoder:
-    """Ids of texts by the tokenizers library. Where the tokenizer drops white space, texts are split at blanks and
-    line ends, each distinct word is encoded once and a bounded number of words is remembered."""
+    """Ids of texts by the tokenizers library. Where the tokenizer drops white space, texts are split at blanks and line
+    ends and each distinct word is encoded once."""
 
-    def __init__(self, definition: str, by_word: bool, most: int = 300_000):
+    def __init__(self, definition: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.by_word, self.most, self.cache = by_word, most, {}
+        self.by_word, self.key = by_word, hashlib.sha256(definition.encode()).digest()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each)."""
         if not self.by_word:
-            return [np.array(x.ids, "<u4").tobytes() for x in self._run(texts)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        new = list({w for s in split for w in s if w not in self.cache})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for word, x in zip(part, self._run(part), strict=True):
-                self.cache[word] = np.array(x.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, s)) for s in split]
-
-    def _run(self, texts: list[str]):
-        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            found = self._run([t.decode() for t in texts])
+            return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        data = b"\n".join(texts)
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        raw = np.frombuffer(data, np.uint8)
+        inside = np.zeros(len(raw) + 2, bool)
+        inside[1:-1] = (raw != 32) & (raw != 10)
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        ids, counts = encode_words(data, starts, ends, self._run, self.key)
+        return ids, per_text(counts, starts, bounds)
+
+    def _run(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(texts), 10_000):
+            for x in self.tokenizer.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False):
+                ids = x.ids
+                out.append(pack(f"<{len(ids)}I", *ids))
+        return out
 
 
 def drops_blanks(definition: str) -> bool:
@@ -102,7 +126,7 @@ def drops_blanks(definition: str) -> bool:
         first.get("type") == "Split"
         and first.get("invert") is True
         and first.get("behavior") == "Removed"
-        and r"[^\s" in str(first.get("pattern"))
+        and r"[^\s" in (first.get("pattern") or {}).get("Regex", "")
         and {x["type"] for x in normal.get("normalizers", [normal] if normal else [])} <= plain
         and not any(x.get("add_prefix_space") for x in steps)
         and d.get("truncation") is None
@@ -115,24 +139,35 @@ def _encoder(definition, by_word: bool, end: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(definition.value, by_word)
         for batch in batches:
-            text = batch.column("text")
-            for a, b in pieces(text.cast(pa.large_binary())):
-                texts = [t or "" for t in text.slice(a, b - a).to_pylist()]
-                rows = []
-                for data in encoder.encode(texts):
-                    ids = np.append(np.frombuffer(data, "<u4"), np.uint32(end))
-                    ends = cut_points(ids)
-                    parts = [ids[i:j].astype(kind).tobytes() for i, j in zip([0, *ends[:-1]], ends, strict=True)]
-                    rows.append([{"hash": hashlib.sha256(p).digest(), "n": len(p) // width, "data": p} for p in parts])
+            text = batch.column("text").cast(pa.large_binary())
+            for a, b in pieces(text):
+                found, sizes = encoder.encode([t or b"" for t in text.slice(a, b - a).to_pylist()])
+                sizes = sizes + 1
+                lasts = np.cumsum(sizes) - 1
+                ids = np.empty(int(sizes.sum()), np.uint32)
+                own = np.ones(len(ids), bool)
+                own[lasts] = False
+                ids[own], ids[lasts] = found, end
+                cuts = cut_points(ids, np.cumsum(sizes).tolist())
+                ends = np.array([c for cut in cuts for c in cut], np.int64)
+                counts = np.array([len(c) for c in cuts], np.int64)
+                whole = ids.astype(kind).tobytes()
+                places = (ends * width).tolist()
+                data = [whole[i:j] for i, j in zip([0, *places[:-1]], places, strict=True)]
+                names = [hashlib.sha256(x).digest() for x in data]
+                last = np.cumsum(counts).tolist()
+                roots = [hashlib.sha256(b"".join(names[j - n : j])).digest() for n, j in zip(counts.tolist(), last, strict=True)]
+                chunks = pa.StructArray.from_arrays(
+                    [pa.array(names, pa.binary()), pa.array(np.diff(ends, prepend=0).astype(np.int32)), pa.array(data, pa.binary())],
+                    ["hash", "n", "data"],
+                )
+                offsets = pa.array(np.concatenate([[0], last]).astype(np.int32))
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column("doc_id").slice(a, b - a),
-                        "n_tokens": pa.array([sum(c["n"] for c in r) for r in rows], pa.int64()),
-                        "root": pa.array([hashlib.sha256(b"".join(c["hash"] for c in r)).digest() for r in rows], pa.binary()),
-                        "chunks": pa.array(
-                            rows,
-                            pa.list_(pa.struct([("hash", pa.binary()), ("n", pa.int32()), ("data", pa.binary())])),
-                        ),
+                        "n_tokens": pa.array(sizes),
+                        "root": pa.array(roots, pa.binary()),
+                        "chunks": pa.ListArray.from_arrays(offsets, chunks),
                     }
                 )
 
@@ -162,6 +197,7 @@ def write_store(
     Null text: as empty, one id. Null ids come first, in the order of their content; so do rows of one id among
     themselves. Repeated rows: each has a recipe, their chunks are stored once. Empty table: an empty store.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         definition = f.read()

@@ -1,30 +1,140 @@
-"""Words that a Python worker has encoded already, a bounded number of them, kept from task to task."""
+"""Encodings of words that a Python worker has met, a bounded number of them, kept from task to task.
+
+Words are found, hashed and looked up as arrays: prefix sums of weighted bytes give each word's 64-bit hash, an
+open-addressed table of hashes gives its entry, and one gather puts the ids of all words of a batch together. An entry
+is taken only if hash, length and first eight bytes agree.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-#: About 200 bytes each.
-MOST = 1_000_000
-_CACHES: dict[object, dict[str, bytes]] = {}
-
-
-def joined(split: list[list[str]], encode: Callable[[list[str]], list[bytes]], key: object, most: int = MOST) -> list[bytes]:
-    """For each list of words their encodings put together. Only words not yet in the cache of ``key`` are encoded,
-    each once. The cache begins anew when it holds ``most`` words."""
-    cache = _CACHES.get(key)
-    if cache is None:
-        _CACHES.clear()
-        cache = _CACHES[key] = {}
-    if len(cache) > most:
-        cache.clear()
-    get = cache.get
-    found = [list(map(get, words)) for words in split]
-    holes = [i for i, f in enumerate(found) if None in f]
-    new = {w for i in holes for w, x in zip(split[i], found[i], strict=True) if x is None}
-    if new:
-        words = list(new)
-        cache.update(zip(words, encode(words), strict=True))
-    for i in holes:
-        found[i] = list(map(get, split[i]))
-    return [b"".join(f) for f in found]
+import numpy as np
+
+from kinoflow.llm.hashing import mix64
+
+MOST = 700_000
+SPAN = 4 << 20  # bytes looked at together; a longer word is looked at alone
+WEIGHT = 0x9E3779B97F4A7C15 | 1
+UNWEIGHT = pow(WEIGHT, -1, 1 << 64)
+_TABLES: dict[object, WordTable] = {}
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """WEIGHT ** i and UNWEIGHT ** i, modulo 2 ** 64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 20)
+        made = []
+        for base in (WEIGHT, UNWEIGHT):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            made.append(np.cumprod(x, dtype=np.uint64))
+        _POWERS[:] = made
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], for starts and ends in order."""
+    low, high = int(starts[0]), int(ends[-1])
+    up, down = _powers(high - low + 1)
+    sums = np.zeros(high - low + 1, np.uint64)
+    np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    return mix64((sums[ends - low] - sums[starts - low]) * down[starts - low] + (ends - starts).astype(np.uint64))
+
+
+class WordTable:
+    def __init__(self, most: int = MOST):
+        self.most = most
+        self.bits = max(10, int(3 * most - 1).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.entry = np.full(1 << self.bits, -1, np.int32)
+        self.size = self.used = 0
+        self.head, self.length = np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
+        self.first, self.count, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray, head: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The entry of each word, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        live, slot = np.arange(len(h)), self._slots(h)
+        while len(live):
+            at = self.entry[slot]
+            hit = (at >= 0) & (self.keys[slot] == h[live]) & (self.head[at] == head[live]) & (self.length[at] == length[live])
+            out[live[hit]] = at[hit]
+            on = ~hit & (at >= 0)
+            live, slot = live[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, h: np.ndarray, head: np.ndarray, length: np.ndarray, encoded: list[bytes]) -> None:
+        n = len(h)
+        grown = lambda x, need: x if len(x) >= need else np.concatenate([x, np.zeros(max(need, 2 * len(x)) - len(x), x.dtype)])
+        ids = np.frombuffer(b"".join(encoded), "<u4")
+        counts = np.array([len(x) // 4 for x in encoded], np.int64)
+        for name in ("head", "length", "first", "count"):
+            setattr(self, name, grown(getattr(self, name), self.size + n))
+        self.ids = grown(self.ids, self.used + len(ids))
+        new = slice(self.size, self.size + n)
+        self.head[new], self.length[new], self.count[new] = head, length, counts
+        self.first[new] = self.used + np.cumsum(counts) - counts
+        self.ids[self.used : self.used + len(ids)] = ids
+        wait, slot = np.arange(n), self._slots(h)
+        while len(wait):
+            free = self.entry[slot] < 0
+            _, winners = np.unique(slot[free], return_index=True)
+            placed = np.flatnonzero(free)[winners]
+            self.entry[slot[placed]] = self.size + wait[placed]
+            self.keys[slot[placed]] = h[wait[placed]]
+            rest = np.ones(len(wait), bool)
+            rest[placed] = False
+            wait, slot = wait[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+        self.size += n
+        self.used += len(ids)
+
+
+def encode_words(
+    data: bytes, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[str]], list[bytes]], key: object, most: int = MOST
+) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words one after another, number of ids of each word). ``encode`` gets words that the table of ``key``
+    doesn't have yet, each once, and gives their ids as little-endian 32-bit integers."""
+    if key not in _TABLES or _TABLES[key].most != most:
+        _TABLES.clear()
+        _TABLES[key] = WordTable(most)
+    table = _TABLES[key]
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    parts, counts, at = [], [], 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + SPAN, side="right")))
+        stop = min(stop, at + table.most)  # so the table, of three slots for each of ``most``, never fills
+        s, e = starts[at:stop], ends[at:stop]
+        at = stop
+        if table.size > table.most:
+            table.clear()
+        h, length = word_hashes(padded, s, e), e - s
+        mask = np.where(length < 8, (np.uint64(1) << (8 * np.minimum(length, 7)).astype(np.uint64)) - np.uint64(1), ~np.uint64(0))
+        head = eights[s] & mask
+        found = table.find(h, head, length)
+        while len(holes := np.flatnonzero(found < 0)):
+            _, once = np.unique(h[holes], return_index=True)
+            once = holes[once]
+            words = [data[i:j].decode() for i, j in zip(s[once].tolist(), e[once].tolist(), strict=True)]
+            table.add(h[once], head[once], length[once], encode(words))
+            found[holes] = table.find(h[holes], head[holes], length[holes])
+        n = table.count[found]
+        done = np.cumsum(n)
+        total = int(done[-1]) if len(done) else 0
+        parts.append(table.ids[np.arange(total) + np.repeat(table.first[found] - (done - n), n)])
+        counts.append(n)
+    return np.concatenate([*parts, np.empty(0, np.uint32)]), np.concatenate([*counts, np.empty(0, np.int64)])
+
+
+def per_text(counts: np.ndarray, starts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many ids each text has: ``bounds`` are the texts' first bytes and the end of the last."""
+    sums = np.concatenate([[0], np.cumsum(counts)])
+    return np.diff(sums[np.searchsorted(starts, bounds)])

@@ -196,7 +196,8 @@ ODD = ["", " ", "a", "Hello  world\n\nnew   line", "a\tb ", "naïve ﬁ Å é e
 def test_sentencepiece_equals_library(pieces, unigram, spark, sf):
     encoder = sentencepiece_viterbi.Encoder(pieces)
     texts = ODD + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect() if r["text"]]
-    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+    flat, counts = encoder.encode([t.encode() for t in texts])
+    for text, ids in zip(texts, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
         assert encoder.decode(ids).decode() == text
         want = unigram.encode(text)
         if ids.tolist() != want:  # sums of equal size may be split in two ways in the library's single precision
@@ -214,7 +215,7 @@ def best_score(word, scores, unknown):
 
 
 def test_sentencepiece_is_the_best_split(pieces):
-    encoder = sentencepiece_viterbi.Encoder(pieces, 100)
+    encoder = sentencepiece_viterbi.Encoder(pieces)
     scores = dict(zip(pieces.words, pieces.scores.tolist(), strict=True))
     of_id = dict(zip(pieces.ids.tolist(), pieces.scores.tolist(), strict=True))
     rng = np.random.default_rng(1)
@@ -301,12 +302,41 @@ def test_store_empty(spark, tmp_path):
 def test_cut_points():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 50_000, 30_000).astype(np.uint32)
-    ends = token_store.cut_points(ids)
+    ends = token_store.cut_points(ids)[0]
     sizes = np.diff([0, *ends])
-    assert ends[-1] == len(ids) and sizes[:-1].min() >= token_store.LEAST and sizes.max() <= token_store.MOST + token_store.LEAST
-    moved = token_store.cut_points(np.concatenate([ids[:100], ids]))
+    assert ends[-1] == len(ids) and sizes[:-1].min() >= token_store.LEAST and sizes.max() <= token_store.MOST
+    moved = token_store.cut_points(np.concatenate([ids[:100], ids]))[0]
     assert len(set(np.array(moved) - 100) & set(ends)) > 0.9 * len(ends)
-    assert token_store.cut_points(np.zeros(0, np.uint32)) == [0]
+    apart = [token_store.cut_points(x)[0] for x in (ids[:5000], ids[5000:5001], ids[5001:])]
+    together = token_store.cut_points(ids, [5000, 5001, 30_000])
+    assert together == [apart[0], [5001], [5001 + x for x in apart[2]]]
+
+
+def test_word_table():
+    """Against a dict, with tables that overflow, long words, and words that agree in their first bytes."""
+    from kinoflow.llm import word_cache
+
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcé"), rng.integers(1, 14))) for _ in range(6000)] + ["x" * 50_000, "x" * 50_001]
+    data = " ".join(words).encode()
+    raw = np.frombuffer(data, np.uint8)
+    cuts = np.flatnonzero(raw == 32)
+    starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(raw)]])
+    seen = []
+
+    def run(new):
+        seen.extend(new)
+        return [np.array([len(w), zlib.crc32(w.encode())], "<u4").tobytes() for w in new]
+
+    for most in (50, 100_000):
+        seen.clear()
+        for _ in range(2):
+            ids, counts = word_cache.encode_words(data, starts, ends, run, "k", most)
+            assert ids.reshape(-1, 2).tolist() == [[len(w), zlib.crc32(w.encode())] for w in words]
+            assert (counts == 2).all()
+    assert len(seen) == len(set(words))
+    at = word_cache.per_text(counts, starts, np.array([0, starts[10], starts[10], len(raw)]))
+    assert at.tolist() == [20, 0, 2 * len(words) - 20]
 
 
 def exact(rows, k=20, every=20):
