@@ -159,7 +159,7 @@ class Encoder:
         ids, counts = encode_words(data, starts, np.append(starts[1:], len(raw)), self._encode_words, self.key)
         return ids.view(np.int32), per_text(counts, starts, bounds)
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         by_size: dict[int, list[str]] = {}
         words = [w.replace(" ", BLANK) for w in words]
         for word in words:
@@ -170,7 +170,7 @@ class Encoder:
             for k in range(0, len(group), step):
                 part = group[k : k + step]
                 done.update(zip(part, self._best(part), strict=True))
-        return [done[w] for w in words]
+        return np.frombuffer(b"".join(map(done.__getitem__, words)), "<u4"), np.array([len(done[w]) // 4 for w in words], np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 of the text that ids spell: pieces and bytes joined, the first blank taken off."""

@@ -14,10 +14,11 @@ A store is a folder of three Parquet tables, so any file system that Spark reads
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -74,40 +75,105 @@ def cut_points(ids: np.ndarray, ends: list[int] | None = None) -> list[list[int]
     return out
 
 
+#: Kinds of bytes: blanks and line ends, letters up to U+00FF, visible ASCII signs but the apostrophe, all else.
+BLANKS, LETTERS, SIGNS, REST = 0, 1, 2, 3
+_KIND = np.full(256, REST, np.uint8)
+_KIND[33:127] = SIGNS
+_KIND[ord("'")] = REST
+_KIND[65:91] = _KIND[97:123] = LETTERS
+_KIND[[10, 32]] = BLANKS
+_AFTER_C3 = np.zeros(256, bool)  # U+00C0 to U+00FF but the signs of multiplication and division
+_AFTER_C3[0x80:0xC0] = True
+_AFTER_C3[[0x97, 0xB7]] = False
+_EASY = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+").fullmatch
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library. Where the tokenizer drops white space, texts are split at blanks and line
-    ends and each distinct word is encoded once."""
+    ends and each distinct word is encoded once.
+
+    Where its first split also keeps letters and signs apart (:func:`parts_letters`), words are cut between letters up to
+    U+00FF and ASCII signs too, and words of such letters alone go through the library without normaliser and regular
+    expression, many to a text: both leave such a word as it is, but for its case.
+    """
 
     def __init__(self, definition: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.by_word, self.key = by_word, hashlib.sha256(definition.encode()).digest()
+        self.plain = None
+        if by_word and parts_letters(definition):
+            self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+            self.lower = '"Lowercase"' in json.dumps(json.loads(definition)["normalizer"])
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
+            suffix = self.tokenizer.model.end_of_word_suffix  # which the last piece of each word has, and no other
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.last[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each)."""
         if not self.by_word:
-            found = self._run([t.decode() for t in texts])
-            return np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+            return self._run([t.decode() for t in texts])
         data = b"\n".join(texts)
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
+        kinds = np.zeros(len(data) + 2, np.uint8)
         raw = np.frombuffer(data, np.uint8)
-        inside = np.zeros(len(raw) + 2, bool)
-        inside[1:-1] = (raw != 32) & (raw != 10)
-        edges = np.flatnonzero(inside[1:] != inside[:-1])
-        starts, ends = edges[::2], edges[1::2]
-        ids, counts = encode_words(data, starts, ends, self._run, self.key)
+        kinds[1:-1] = _KIND[raw]
+        two = np.flatnonzero(raw[:-1] == 0xC3)
+        two = two[_AFTER_C3[raw[two + 1]]] + 1
+        kinds[two] = kinds[two + 1] = LETTERS
+        inside = kinds != BLANKS
+        edge = inside[1:] != inside[:-1]
+        if self.plain is not None and not any(x in data for x in self.added):
+            edge |= kinds[1:] * kinds[:-1] == LETTERS * SIGNS
+        starts = np.flatnonzero(edge & inside[1:])
+        ends = np.flatnonzero(edge & inside[:-1])
+        ids, counts = encode_words(data, starts, ends, self._words if self.plain is not None else self._run, self.key)
         return ids, per_text(counts, starts, bounds)
 
-    def _run(self, texts: list[str]) -> list[bytes]:
-        out = []
+    def _run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out = [np.empty(0, np.uint32)]
         for i in range(0, len(texts), 10_000):
             for x in self.tokenizer.encode_batch_fast(texts[i : i + 10_000], add_special_tokens=False):
-                ids = x.ids
-                out.append(pack(f"<{len(ids)}I", *ids))
-        return out
+                out.append(np.array(x.ids, np.uint32))
+        return np.concatenate(out), np.array([len(x) for x in out[1:]], np.int64)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = np.array([_EASY(w) is not None for w in words], bool)
+        easy, hard = np.flatnonzero(plain), np.flatnonzero(~plain)
+        parts, counts = [], []
+        for i in range(0, len(easy), 2_000):
+            text = " ".join([words[k] for k in easy[i : i + 2_000].tolist()])
+            (x,) = self.plain.encode_batch_fast([text.lower() if self.lower else text], add_special_tokens=False)
+            parts.append(np.array(x.ids, np.uint32))
+            counts.append(np.diff(np.flatnonzero(self.last[parts[-1]]), prepend=-1))
+        ids, n = self._run([words[k] for k in hard.tolist()])
+        ids, n = np.concatenate([*parts, ids]), np.concatenate([*counts, n]).astype(np.int64)
+        place = np.argsort(np.concatenate([easy, hard]))
+        first, n = (np.cumsum(n) - n)[place], n[place]
+        done = np.cumsum(n)
+        return ids[np.arange(len(ids)) + np.repeat(first - (done - n), n)], n
+
+
+def parts_letters(definition: str) -> bool:
+    """Whether the first split takes runs of letters, single digits and runs of other signs, but for alternatives that
+    begin with an apostrophe, what follows works on characters, and pieces tell where a word ends."""
+    d = json.loads(definition)
+    steps = (d.get("pre_tokenizer") or {}).get("pretokenizers") or [d.get("pre_tokenizer") or {}]
+    taken = (steps[0].get("pattern") or {}).get("Regex", "").split("|")
+    return (
+        [x for x in taken if not x.startswith("'")] == [r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"]
+        and all(x["type"] == "ByteLevel" and not x.get("use_regex") for x in steps[1:])
+        and all(x["type"] != "Replace" or x["pattern"] == {"Regex": r"\s+"} for x in (d.get("normalizer") or {}).get("normalizers", []))
+        and d["model"]["type"] == "BPE"
+        and bool(d["model"].get("end_of_word_suffix"))
+    )
 
 
 def drops_blanks(definition: str) -> bool:
@@ -116,8 +182,6 @@ def drops_blanks(definition: str) -> bool:
     True for a tokenizer whose first split keeps only matches without white space, after normalisers that work on
     characters, without a prefix blank.
     """
-    import json
-
     d = json.loads(definition)
     steps = (d.get("pre_tokenizer") or {}).get("pretokenizers") or [d.get("pre_tokenizer") or {}]
     first, normal = steps[0], d.get("normalizer") or {}

@@ -71,11 +71,9 @@ class WordTable:
             live, slot = live[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, h: np.ndarray, head: np.ndarray, length: np.ndarray, encoded: list[bytes]) -> None:
+    def add(self, h: np.ndarray, head: np.ndarray, length: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         n = len(h)
         grown = lambda x, need: x if len(x) >= need else np.concatenate([x, np.zeros(max(need, 2 * len(x)) - len(x), x.dtype)])
-        ids = np.frombuffer(b"".join(encoded), "<u4")
-        counts = np.array([len(x) // 4 for x in encoded], np.int64)
         for name in ("head", "length", "first", "count"):
             setattr(self, name, grown(getattr(self, name), self.size + n))
         self.ids = grown(self.ids, self.used + len(ids))
@@ -98,10 +96,10 @@ class WordTable:
 
 
 def encode_words(
-    data: bytes, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[str]], list[bytes]], key: object, most: int = MOST
+    data: bytes, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], key: object, most: int = MOST
 ) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words one after another, number of ids of each word). ``encode`` gets words that the table of ``key``
-    doesn't have yet, each once, and gives their ids as little-endian 32-bit integers."""
+    doesn't have yet, each once, and gives the same of them."""
     if key not in _TABLES or _TABLES[key].most != most:
         _TABLES.clear()
         _TABLES[key] = WordTable(most)
@@ -124,7 +122,7 @@ def encode_words(
             _, once = np.unique(h[holes], return_index=True)
             once = holes[once]
             words = [data[i:j].decode() for i, j in zip(s[once].tolist(), e[once].tolist(), strict=True)]
-            table.add(h[once], head[once], length[once], encode(words))
+            table.add(h[once], head[once], length[once], *encode(words))
             found[holes] = table.find(h[holes], head[holes], length[holes])
         n = table.count[found]
         done = np.cumsum(n)

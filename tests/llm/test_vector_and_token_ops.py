@@ -326,7 +326,8 @@ def test_word_table():
 
     def run(new):
         seen.extend(new)
-        return [np.array([len(w), zlib.crc32(w.encode())], "<u4").tobytes() for w in new]
+        ids = np.array([[len(w), zlib.crc32(w.encode())] for w in new], np.uint32)
+        return ids.reshape(-1), np.full(len(new), 2, np.int64)
 
     for most in (50, 100_000):
         seen.clear()
