@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinoflow.llm.batches import pieces
 from kinoflow.llm.common import kept, let, small_batches
+from kinoflow.llm.word_cache import forget
 
 BUCKETS = 1 << 16
 #: What an address suffix says.
@@ -63,6 +64,7 @@ def fit(
     number = {x: i for i, x in enumerate(languages)}
 
     def count(batches):
+        forget()
         sums = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -83,9 +85,13 @@ def scorer(model: LanguageModel, most: float = 128.0, temper: float = 0.5):
     """Log likelihoods by language of each text. Trigrams overlap and repeat, so a text counts as ``temper`` times its
     number of trigrams, at most ``most``. A null text, or one without letters, says nothing: zeros."""
     table, blank = model.table.astype(np.float32), int(trigram_buckets(b"   ")[0])
+    begun: list[bool] = []
 
     @F.arrow_udf("array<double>")
     def score(text: pa.Array) -> pa.Array:
+        if not begun:
+            begun.append(True)
+            forget()
         out = np.zeros((len(text), len(model.languages)))
         data = text.cast(pa.large_binary())
         for a, b in pieces(data):

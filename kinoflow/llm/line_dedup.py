@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinoflow.llm.batches import flat, lists
 from kinoflow.llm.common import ascii_lower, kept, let, small_batches
 from kinoflow.llm.perfect_hash import Shard
+from kinoflow.llm.word_cache import forget
 
 BLANK = " \t\n\x0b\x0c\r"
 SHARD_KEYS = 250_000
@@ -72,6 +73,7 @@ def _prober(shards):
     @F.arrow_udf("array<boolean>")
     def flags(ids: pa.Array, h: pa.Array, p: pa.Array) -> pa.Array:
         if not loaded:
+            forget()
             loaded.extend(Shard.from_bytes(x) for x in shards.value)
         h, counts = flat(h)
         p, _ = flat(p)

@@ -14,6 +14,7 @@ from kinoflow.llm.batches import lists, pieces
 from kinoflow.llm.common import cut, kept, small_batches
 from kinoflow.llm.components import connected_components
 from kinoflow.llm.hashing import WordHashes, mix32, mix64, word_shingles
+from kinoflow.llm.word_cache import forget
 
 BANDS, ROWS = 40, 6
 #: Rows and shingles of a block in which all pairs are compared.
@@ -46,6 +47,7 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    forget()
     hashes = WordHashes()
     for batch in batches:
         text = batch.column("text").cast(pa.large_binary())

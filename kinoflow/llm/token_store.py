@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kinoflow.llm.batches import pieces
 from kinoflow.llm.common import kept, small_batches
-from kinoflow.llm.word_cache import encode_words, per_text
+from kinoflow.llm.word_cache import encode_words, give_back, per_text
 
 WINDOW, MASK, LEAST, MOST = 16, 0x1FF, 64, 4096
 FANOUT = 256
@@ -201,6 +201,7 @@ def _encoder(definition, by_word: bool, end: int, width: int):
     kind = f"<u{width}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder = WordEncoder(definition.value, by_word)
         for batch in batches:
             text = batch.column("text").cast(pa.large_binary())

@@ -7,14 +7,17 @@ is taken only if hash, length and first eight bytes agree.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 from kinoflow.llm.hashing import mix64
 
-MOST = 700_000
-SPAN = 4 << 20  # bytes looked at together; a longer word is looked at alone
+MOST = 690_000
+SPAN = 1 << 20  # bytes looked at together; a longer word is looked at alone
 WEIGHT = 0x9E3779B97F4A7C15 | 1
 UNWEIGHT = pow(WEIGHT, -1, 1 << 64)
 _TABLES: dict[object, WordTable] = {}
@@ -50,11 +53,12 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(1 << self.bits, np.uint64)
         self.entry = np.full(1 << self.bits, -1, np.int32)
         self.size = self.used = 0
-        self.head, self.length = np.zeros(1024, np.uint64), np.zeros(1024, np.int64)
-        self.first, self.count, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        # Zeros take no memory until they are written, so there is room for all entries from the start.
+        self.keys, self.head = np.zeros(2 * self.most, np.uint64), np.zeros(2 * self.most, np.uint64)
+        self.length, self.count = np.zeros(2 * self.most, np.int32), np.zeros(2 * self.most, np.int32)
+        self.first, self.ids = np.zeros(2 * self.most, np.int64), np.zeros(16 * self.most, np.uint32)
 
     def _slots(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -65,7 +69,7 @@ class WordTable:
         live, slot = np.arange(len(h)), self._slots(h)
         while len(live):
             at = self.entry[slot]
-            hit = (at >= 0) & (self.keys[slot] == h[live]) & (self.head[at] == head[live]) & (self.length[at] == length[live])
+            hit = (at >= 0) & (self.keys[at] == h[live]) & (self.head[at] == head[live]) & (self.length[at] == length[live])
             out[live[hit]] = at[hit]
             on = ~hit & (at >= 0)
             live, slot = live[on], (slot[on] + 1) & ((1 << self.bits) - 1)
@@ -74,11 +78,11 @@ class WordTable:
     def add(self, h: np.ndarray, head: np.ndarray, length: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         n = len(h)
         grown = lambda x, need: x if len(x) >= need else np.concatenate([x, np.zeros(max(need, 2 * len(x)) - len(x), x.dtype)])
-        for name in ("head", "length", "first", "count"):
+        for name in ("keys", "head", "length", "first", "count"):
             setattr(self, name, grown(getattr(self, name), self.size + n))
         self.ids = grown(self.ids, self.used + len(ids))
         new = slice(self.size, self.size + n)
-        self.head[new], self.length[new], self.count[new] = head, length, counts
+        self.keys[new], self.head[new], self.length[new], self.count[new] = h, head, length, counts
         self.first[new] = self.used + np.cumsum(counts) - counts
         self.ids[self.used : self.used + len(ids)] = ids
         wait, slot = np.arange(n), self._slots(h)
@@ -87,7 +91,6 @@ class WordTable:
             _, winners = np.unique(slot[free], return_index=True)
             placed = np.flatnonzero(free)[winners]
             self.entry[slot[placed]] = self.size + wait[placed]
-            self.keys[slot[placed]] = h[wait[placed]]
             rest = np.ones(len(wait), bool)
             rest[placed] = False
             wait, slot = wait[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
@@ -95,6 +98,20 @@ class WordTable:
         self.used += len(ids)
 
 
+def forget() -> None:
+    """Gives back what tasks of other operators left in this Python worker: tables of words, and freed memory."""
+    _TABLES.clear()
+    _POWERS.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def encode_words(
     data: bytes, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], key: object, most: int = MOST
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +141,7 @@ def encode_words(
             words = [data[i:j].decode() for i, j in zip(s[once].tolist(), e[once].tolist(), strict=True)]
             table.add(h[once], head[once], length[once], *encode(words))
             found[holes] = table.find(h[holes], head[holes], length[holes])
-        n = table.count[found]
+        n = table.count[found].astype(np.int64)
         done = np.cumsum(n)
         total = int(done[-1]) if len(done) else 0
         parts.append(table.ids[np.arange(total) + np.repeat(table.first[found] - (done - n), n)])
