@@ -51,9 +51,8 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text's piece ids, and whether decoding gives the text back."""
     pieces = sentencepiece_viterbi.Pieces.load(tokenizer_file("piece_bpe_32k.model"))
-    done = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, pieces), pieces)
-    exact = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", exact.alias("exact"))
+    done = sentencepiece_viterbi.round_trip(docs, pieces)
+    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", "exact")
 
 
 STAGES = [

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinoflow.llm.batches import flat, lists, pieces
 from kinoflow.llm.common import small_batches
-from kinoflow.llm.word_cache import encode_words, per_text
+from kinoflow.llm.word_cache import encode_words, give_back, per_text
 
 BLANK = "▁"
 BASE = np.uint64(0x100000001B3)
@@ -188,6 +188,7 @@ def _encoder(shared):
 
     def get() -> Encoder:
         if not made:
+            give_back()
             made.append(Encoder(shared.value))
         return made[0]
 
@@ -209,17 +210,49 @@ def encode(docs: DataFrame, vocabulary: Pieces, text_col: str = "text", ids_col:
 
     @F.arrow_udf("array<int>")
     def run(text: pa.Array) -> pa.Array:
-        encoder, found, counts = get(), [np.empty(0, np.int32)], [np.empty(0, np.int64)]
-        data = text.cast(pa.large_binary())
-        for a, b in pieces(data):
-            ids, n = encoder.encode(data.slice(a, b - a).to_pylist())
-            found.append(ids)
-            counts.append(n)
-        return lists(np.concatenate(found), np.concatenate(counts))
+        return _encode_batch(get(), text)[0]
 
     return docs.withColumn(ids_col, run(F.col(text_col)))
 
 
+def _encode_batch(encoder: Encoder, text: pa.Array, decoded: bool = False) -> tuple[pa.Array, list[bool]]:
+    """(ids of each text, whether decoding them gives the text back; only if ``decoded`` asks for it)."""
+    found, counts, exact = [np.empty(0, np.int32)], [np.empty(0, np.int64)], []
+    data = text.cast(pa.large_binary())
+    for a, b in pieces(data):
+        texts = data.slice(a, b - a).to_pylist()
+        ids, n = encoder.encode(texts)
+        found.append(ids)
+        counts.append(n)
+        if decoded:
+            ends = np.cumsum(n).tolist()
+            exact += [encoder.decode(ids[i:j]) == (t or b"") for t, i, j in zip(texts, [0, *ends], ends, strict=False)]
+    return lists(np.concatenate(found), np.concatenate(counts)), exact
+
+
+def round_trip(
+    docs: DataFrame, vocabulary: Pieces, text_col: str = "text", ids_col: str = "ids", exact_col: str = "exact"
+) -> DataFrame:
+    """Adds the ids of each whole text as :func:`encode` does, and whether decoding them, as :func:`decode` does, gives
+    the text back (a null text: an empty one). One pass in one Python worker: ids aren't sent there a second time.
+
+    All other columns stay; columns of the new names are replaced."""
+    small_batches(docs.sparkSession)
+    get = _encoder(docs.sparkSession.sparkContext.broadcast(vocabulary))
+
+    @F.arrow_udf("struct<ids:array<int>,exact:boolean>")
+    def run(text: pa.Array) -> pa.Array:
+        ids, exact = _encode_batch(get(), text, decoded=True)
+        return pa.StructArray.from_arrays([ids, pa.array(exact, pa.bool_())], ["ids", "exact"])
+
+    names = [c for c in docs.columns if c not in (ids_col, exact_col)]
+    both = "_both"
+    while both in docs.columns:
+        both += "_"
+    done = docs.withColumn(both, run(F.col(text_col)))
+    return done.select(*names, F.col(both)["ids"].alias(ids_col), F.col(both)["exact"].alias(exact_col))
+
+
 def decode(docs: DataFrame, vocabulary: Pieces, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Adds the text that a column of ids spells; null or no ids: empty. Bytes that are no UTF-8 become U+FFFD."""
     small_batches(docs.sparkSession)
