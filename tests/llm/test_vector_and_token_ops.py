@@ -392,3 +392,34 @@ def test_index_small(spark):
     assert [x for x, _ in results(permutation_index.search(frame))[0]] == [4, 3, 2, 1]
     assert permutation_index.search(frame.limit(0)).count() == 0
     assert permutation_index.search(frame.limit(1)).count() == 0
+
+
+def test_words_apart_give_the_librarys_ids():
+    """Words cut between letters and signs, and plain words without normaliser, against whole texts in the library."""
+    from tokenizers import Tokenizer
+
+    with open(queries.tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    encoder, library = token_store.WordEncoder(definition, token_store.drops_blanks(definition)), Tokenizer.from_str(definition)
+    assert encoder.plain is not None
+    rng = np.random.default_rng(4)
+    signs = list("aAbZsSxtT'’,.-<>|=!0123  \n\t×÷éßİΣςJÀÿ中ﷺ🙂") + ["́", "̸", "'s", "don't", "Straße,"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 60))) for _ in range(3000)]
+    for part in (texts, ["a<|endoftext|>b, <|startoftext|>", "x" * 5000, "Ab," * 3000, "", " ", "\n\n"]):
+        ids, counts = encoder.encode([x.encode() for x in part])
+        want = [x.ids for x in library.encode_batch_fast(part, add_special_tokens=False)]
+        assert counts.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]
+
+
+def test_round_trip(spark, pieces):
+    """The one pass against encode and decode; null, empty, the blank sign, characters without a piece, clashing names."""
+    rows = [(1, None, 0), (2, "", 0), (3, "a▁b", 0), (4, "🙂 é́", 0), (5, "one two\n three", 0), (5, "x" * 3000, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _both int")
+    found = sentencepiece_viterbi.round_trip(docs, pieces)
+    assert found.columns == ["doc_id", "text", "_both", "ids", "exact"]
+    plain = sentencepiece_viterbi.decode(sentencepiece_viterbi.encode(docs, pieces), pieces)
+    want = sorted((r.doc_id, r.ids, r.decoded == (r.text or "")) for r in plain.collect())
+    assert sorted((r.doc_id, r.ids, r.exact) for r in found.collect()) == want
+    assert [x[0] for x in want if not x[2]] == [3]
+    assert sentencepiece_viterbi.round_trip(docs.limit(0), pieces).count() == 0
