@@ -36,9 +36,25 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 
 
+#: Nats a trigram by which a text must be nearer to no language than to its best one before that counts.
+MARGIN = 0.5
+
+
+def background(letters: np.ndarray) -> np.ndarray:
+    """Probabilities of the buckets for a text in none of the languages: half of it any bucket alike, half bytes in
+    the shares of ``letters`` (256 counts) that don't depend on one another."""
+    used = np.flatnonzero(_FOLD == np.arange(256))
+    share = (letters[used] + 0.5) / (letters[used] + 0.5).sum()
+    c = used.astype(np.uint32)
+    code = c[:, None, None] * np.uint32(0x1E35A7BD) + c[:, None] * np.uint32(0x85EBCA6B) + c * np.uint32(0xC2B2AE35)
+    weights = (share[:, None, None] * share[:, None] * share).ravel()
+    alone = np.bincount((code >> np.uint32(16)).astype(np.int64).ravel(), weights=weights, minlength=BUCKETS)
+    return 0.5 / BUCKETS + 0.5 * alone
+
+
 @dataclass(frozen=True)
 class LanguageModel:
-    """``table``: (BUCKETS, languages) log probabilities, smoothed."""
+    """``table``: (BUCKETS, languages + 1) log probabilities, smoothed; the last column is of none of the languages."""
 
     languages: tuple[str, ...]
     table: np.ndarray
@@ -49,13 +65,14 @@ def fit(
 ) -> LanguageModel:
     """Fits byte-trigram likelihoods on a sample of labelled rows: about ``sample`` documents of each language, whole,
     chosen by a hash of their id, for the ``most`` most frequent languages. Trigrams are counted in the cluster; at
-    most BUCKETS * languages sums come to the driver. Rows with a null text, id or language aren't used.
+    most BUCKETS * languages sums come to the driver. Rows with a null text, id or language aren't used. Bytes are counted
+    too, for :func:`background`, of which MARGIN is taken off.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts = rows.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
     if not counts:
-        return LanguageModel((), np.zeros((BUCKETS, 0)))
+        return LanguageModel((), np.zeros((BUCKETS, 1)))
     languages = tuple(sorted(r["lang"] for r in counts))
     share = F.lit(0.0)
     for r in counts:
@@ -65,24 +82,30 @@ def fit(
 
     def count(batches):
         forget()
-        sums = np.zeros((len(languages), BUCKETS), np.int64)
+        sums = np.zeros((len(languages) + 1, BUCKETS), np.int64)
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if lang in number:
-                    sums[number[lang]] += np.bincount(trigram_buckets(text.encode()), minlength=BUCKETS)
+                    data = text.encode()
+                    sums[number[lang]] += np.bincount(trigram_buckets(data), minlength=BUCKETS)
+                    sums[-1, :256] += np.bincount(_FOLD[np.frombuffer(data, np.uint8)], minlength=256)
         at, bucket = np.nonzero(sums)
         yield pa.record_batch({"lang": pa.array(at, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "n": sums[at, bucket]})
 
-    sums = np.zeros((BUCKETS, len(languages)))
+    sums = np.zeros((BUCKETS, len(languages) + 1))
     found = chosen.select("lang", "text").mapInArrow(count, "lang int, bucket int, n long")
     got = found.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     sums[got["bucket"].to_numpy(), got["lang"].to_numpy()] = got["n"].to_numpy()
-    smooth = sums + 0.5
-    return LanguageModel(languages, np.log(smooth / smooth.sum(axis=0)))
+    none, sums = background(sums[:256, -1]), sums[:, :-1]
+    # As many trigrams of the background as a language has different ones: what no sample holds is never likelier in a
+    # language than in none, however small the sample.
+    extra = np.maximum((sums > 0).sum(axis=0), 1)
+    smooth = (sums + extra * none[:, None]) / (sums.sum(axis=0) + extra)
+    return LanguageModel(languages, np.column_stack([np.log(smooth), np.log(none) - MARGIN]))
 
 
 def scorer(model: LanguageModel, most: float = 128.0, temper: float = 0.5):
-    """Log likelihoods by language of each text. Trigrams overlap and repeat, so a text counts as ``temper`` times its
+    """Log likelihoods of each text by language, and of none of them. Trigrams overlap and repeat, so a text counts as ``temper`` times its
     number of trigrams, at most ``most``. A null text, or one without letters, says nothing: zeros."""
     table, blank = model.table.astype(np.float32), int(trigram_buckets(b"   ")[0])
     begun: list[bool] = []
@@ -92,7 +115,7 @@ def scorer(model: LanguageModel, most: float = 128.0, temper: float = 0.5):
         if not begun:
             begun.append(True)
             forget()
-        out = np.zeros((len(text), len(model.languages)))
+        out = np.zeros((len(text), table.shape[1]))
         data = text.cast(pa.large_binary())
         for a, b in pieces(data):
             for i, t in enumerate(data.slice(a, b - a).to_pylist(), a):
@@ -111,11 +134,12 @@ def softmax(logs: Column) -> Column:
 
 
 def _says(tag: Column, languages: tuple[str, ...], trust: float) -> Column:
-    """Log likelihoods of a declaration that is right with probability ``trust``; unknown or null tags say nothing."""
+    """Log likelihoods of a declaration that is right with probability ``trust``, the last that of none of the
+    languages; unknown or null tags say nothing."""
     n = len(languages)
     miss = float(np.log((1 - trust) / max(n - 1, 1))) if n > 1 else 0.0
-    each = F.array(*[F.when(tag == x, float(np.log(trust))).otherwise(miss) for x in languages])
-    return F.when(tag.isin(*languages), each).otherwise(F.array(*[F.lit(0.0)] * n))
+    each = F.array(*[F.when(tag == x, float(np.log(trust))).otherwise(miss) for x in languages], F.lit(miss))
+    return F.when(tag.isin(*languages), each).otherwise(F.array(*[F.lit(0.0)] * (n + 1)))
 
 
 def markup_language(text: Column) -> Column:
@@ -148,6 +172,7 @@ def identify(
     suffix_trust: float = 0.6,
     strength: float = 20.0,
     broadcast_hosts: int = 200_000,
+    unknown: float = 0.05,
 ) -> DataFrame:
     """Adds language, probability, text_language, and accepted.
 
@@ -157,6 +182,10 @@ def identify(
     ``strength`` rows of its parent's prior; a row's own posterior is taken out of its host's sum. Host sums are
     broadcast up to ``broadcast_hosts`` of them, else joined by a shuffle that adaptive execution splits at hot hosts.
 
+    Beside the languages stands the hypothesis that a text is in none of them, with a prior of ``unknown`` and the
+    likelihood of :func:`background`. Its part of the posterior lowers ``probability`` and goes to no host's sums, so
+    texts in other languages and random letters are rejected; text_language is null where it is the likeliest.
+
     accepted: some text, a probability of at least ``least``, and, if given, a language in ``accept``.
 
     Pages' tags aren't read as text. Null or empty text, or one without letters: the other evidence decides; not accepted. Null host: the prior of all
@@ -172,7 +201,9 @@ def identify(
     small_batches(docs.sparkSession)
     score = scorer(model)
     text = F.col(text_col)
-    rows = docs.select(*names).withColumn("_ll", score(visible(text))).withColumn("_post", softmax_of(F.col("_ll")))
+    rows = docs.select(*names).withColumn("_ll", score(visible(text))).withColumn(
+        "_post", F.slice(softmax_of(F.col("_ll")), 1, n)
+    )
     host = F.col(host_col) if host_col else F.lit(None).cast("string")
     domain, suffix = host_levels(host)
     rows = rows.withColumns({"_host": F.lower(host)})
@@ -215,7 +246,10 @@ def identify(
             lambda size: F.zip_with(o, F.col("p_domain"), lambda s, p: (s + strength * p) / (size + strength)),
         ),
     )
-    log_prior = F.transform(F.coalesce(F.when(F.col("h").isNotNull(), at_host), every), lambda p: F.log(p))
+    log_prior = F.concat(
+        F.transform(F.coalesce(F.when(F.col("h").isNotNull(), at_host), every), lambda p: F.log(p * (1 - unknown))),
+        F.array(F.lit(float(np.log(unknown)))),
+    )
 
     declared = F.lower(F.substring_index(F.col(declared_col), "-", 1)) if declared_col else F.lit(None).cast("string")
     declared = F.coalesce(declared, markup_language(text))
@@ -228,7 +262,7 @@ def identify(
     )
     final = softmax_of(F.transform(parts, lambda x: x["a"] + x["b"] + x["c"] + x["d"]))
     names_of = F.array(*[F.lit(x) for x in languages])
-    rows = rows.withColumn("_final", final)
+    rows = rows.withColumn("_final", F.slice(final, 1, n))
     best = F.array_max("_final")
     first = lambda c: F.get(names_of, F.array_position(c, F.array_max(c)).cast("int") - 1)
     language, probability = first(F.col("_final")), F.round(best, 6)

@@ -129,6 +129,26 @@ def test_language_held_out(spark, sf):
     assert np.mean([r["accepted"] for r in out]) > 0.97
 
 
+def test_language_none_of_these(spark, sf):
+    """Texts in languages without a label, and random letters, are rejected; labelled ones stay."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.fit(docs)
+    letters = np.random.default_rng(5).integers(97, 123, (60, 6)).astype(np.uint8)
+    other = [
+        "北京是中华人民共和国的首都，也是全国的政治和文化中心。", "東京は日本の首都であり、世界最大の都市の一つです。",
+        "Москва является столицей России и крупнейшим городом страны.",
+        "La città di Roma è la capitale della Repubblica Italiana e il centro della vita politica del paese.",
+        "Warszawa jest stolicą Polski i największym miastem w kraju, położonym nad Wisłą.",
+        " ".join(bytes(x).decode() for x in letters),
+    ]
+    frame = spark.createDataFrame([(-1 - i, t, None, "src0") for i, t in enumerate(other)], "doc_id long, text string, lang string, source string")
+    both = docs.select(*frame.columns).unionByName(frame)
+    for declared in ("lang", None):
+        out = language_id.identify(both, model, declared_col=declared, host_col="source").collect()
+        assert [r["doc_id"] for r in out if r["doc_id"] < 0 and (r["accepted"] or r["text_language"])] == []
+        assert np.mean([r["accepted"] and r["language"] == r["lang"] for r in out if r["doc_id"] >= 0]) > 0.97
+
+
 def test_language_evidence(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = language_id.fit(docs)
