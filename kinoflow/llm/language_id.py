@@ -155,9 +155,10 @@ def visible(text: Column) -> Column:
 
 
 def host_levels(host: Column) -> tuple[Column, Column]:
-    """(domain, suffix) of a host: its last two labels, and the last."""
+    """(domain, suffix) of a host: its last two labels, and the last. Names without a dot have neither: null."""
     parts = F.split(F.lower(host), r"\.")
-    return F.substring_index(F.lower(host), ".", -2), F.element_at(parts, -1)
+    dotted = F.contains(host, F.lit("."))
+    return F.when(dotted, F.substring_index(F.lower(host), ".", -2)), F.when(dotted, F.element_at(parts, -1))
 
 
 def identify(
@@ -179,7 +180,7 @@ def identify(
     posterior ~ text likelihood * declared language * address suffix * host prior. The declared language is the
     column's, else the one in the text's HTML root. Host priors come from one grouped aggregation of text posteriors,
     summed by host before the shuffle, and are smoothed down a hierarchy: all, suffix, domain, host, each with
-    ``strength`` rows of its parent's prior; a row's own posterior is taken out of its host's sum. Host sums are
+    ``strength`` rows of its parent's prior (a host without a dot hangs on all directly); a row's own posterior is taken out of its host's sum. Host sums are
     broadcast up to ``broadcast_hosts`` of them, else joined by a shuffle that adaptive execution splits at hot hosts.
 
     Beside the languages stands the hypothesis that a text is in none of them, with a prior of ``unknown`` and the
@@ -229,11 +230,13 @@ def identify(
         F.col("_suffix").alias("x"), smoothed("s", every).alias("p_suffix")
     )
     domains = by_host.groupBy("_domain").agg(F.first("_suffix").alias("_suffix"), *whole)
-    domains = domains.join(suffixes, F.col("_suffix") == F.col("x")).select(
+    domains = domains.where("_domain is not null").join(suffixes, F.col("_suffix") == F.col("x")).select(
         F.col("_domain").alias("d"), smoothed("s", F.col("p_suffix")).alias("p_domain")
     )
-    hosts = by_host.where("_host is not null").join(domains, F.col("_domain") == F.col("d")).select(
-        F.col("_host").alias("h"), F.array(*[F.col(f"s{i}") for i in range(n)]).alias("own"), F.col("p_domain")
+    hosts = by_host.where("_host is not null").join(domains, F.col("_domain") == F.col("d"), "left").select(
+        F.col("_host").alias("h"),
+        F.array(*[F.col(f"s{i}") for i in range(n)]).alias("own"),
+        F.coalesce("p_domain", every).alias("p_domain"),
     )
     hosts = kept(hosts, "host-priors")
     hosts = F.broadcast(hosts) if hosts.count() <= broadcast_hosts else hosts

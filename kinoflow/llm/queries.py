@@ -37,11 +37,21 @@ def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By text and source; lang is what the model is fitted on, so it isn't evidence too."""
     docs = table(spark, sf_dir, "documents")
-    found = language_id.identify(docs, language_id.fit(docs), declared_col="lang", host_col="source")
+    found = language_id.identify(docs, language_id.fit(docs), host_col="source")
     return found.select("doc_id", "language", "probability", "text_language", "accepted")
 
 
+def op2_pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, with a model of documents: by text, declared markup, address suffix and host."""
+    pages = table(spark, sf_dir, "pages")
+    host, _ = url_filters.host_and_path(F.col("url"))
+    pages = pages.withColumn("host", F.nullif(host, F.lit("")))
+    found = language_id.identify(pages, language_id.fit(table(spark, sf_dir, "documents")), text_col="html", host_col="host")
+    return found.select("page_id", "language", "probability", "text_language", "accepted")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -105,7 +115,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_permutation_index, op2_language_id, op3_decontamination, op4_bounded_ring_sharding, op5_sentencepiece,
+        op1_permutation_index, op2_language_id, op2_pages_language_id, op3_decontamination, op4_bounded_ring_sharding, op5_sentencepiece,
         op6_content_store, op7_url_filter, op8_pii, op9_minhash_near_dedup, op10_line_dedup,
     ]
     return {f.__name__: f for f in found}

@@ -149,6 +149,33 @@ def test_language_none_of_these(spark, sf):
         assert np.mean([r["accepted"] and r["language"] == r["lang"] for r in out if r["doc_id"] >= 0]) > 0.97
 
 
+def test_language_of_pages(spark, sf, tmp_path):
+    """Pages are worked on with markup and hosts; documents without their own label as evidence."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    out = queries.queries()["op2_pages_language_id"](spark, sf).collect()
+    assert sorted(r["page_id"] for r in out) == sorted(r["page_id"] for r in pages.select("page_id").collect())
+    says = {r["page_id"]: r["tag"] for r in pages.select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("tag")).collect()}
+    assert np.mean([r["language"] == says[r["page_id"]] for r in out]) > 0.9
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = queries.op2_language_id(spark, sf).collect()
+    want = language_id.identify(docs, language_id.fit(docs), host_col="source")
+    assert sorted(found) == sorted(want.select("doc_id", "language", "probability", "text_language", "accepted").collect())
+
+
+def test_language_host_without_dot(spark):
+    """Sums of a host without a dot count once: prior of all, then its own."""
+    none = np.log(np.full((language_id.BUCKETS, 3), 1e-9))
+    none[:, :2] = np.log(1 / language_id.BUCKETS)
+    none[language_id.trigram_buckets(b"aaa"), 0] += 3
+    none[language_id.trigram_buckets(b"bbb"), 1] += 3
+    model = language_id.LanguageModel(("aa", "bb"), none)
+    rows = [(i, "aaa", "src1") for i in range(6)] + [(i, "bbb", "src2") for i in range(6, 12)] + [(12, None, "src1")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, host string")
+    got = {r["doc_id"]: r["probability"] for r in language_id.identify(frame, model, host_col="host").collect()}
+    p = 1 / (1 + np.exp(-1.5))
+    assert abs(got[12] - 0.95 * (6 * p + 20 * 0.5) / 26) < 1e-3
+
+
 def test_language_evidence(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = language_id.fit(docs)
