@@ -159,6 +159,10 @@ ORACLES = {
           OVER (PARTITION BY stream_id ORDER BY pts, pick ROWS UNBOUNDED PRECEDING) AS start_pts
         FROM (SELECT stream_id, seq * 40 AS pts, TRUE AS pick FROM fr WHERE seq % 5 = 0 UNION ALL SELECT stream_id, pts, FALSE FROM cuts))
       WHERE pick AND start_pts IS NOT NULL"""),
+    "scene_assoc_all": spaced(CORR, HCAND, 200, """SELECT f.stream_id, f.seq * 40 AS pts, coalesce(
+        last_value(c.pts IGNORE NULLS) OVER (PARTITION BY f.stream_id ORDER BY f.seq ROWS UNBOUNDED PRECEDING),
+        min(f.seq * 40) OVER (PARTITION BY f.stream_id)) AS start_pts
+      FROM fr f LEFT JOIN cuts c ON c.stream_id = f.stream_id AND c.pts = f.seq * 40"""),
     "downscale": f"""WITH {PX}, sm AS (SELECT stream_id, seq, (y // 2) * 4 + x // 2 AS cell, (sum(r) + 2) // 4 AS r, (sum(g) + 2) // 4 AS g,
         (sum(b) + 2) // 4 AS b FROM rgb GROUP BY ALL)
       SELECT stream_id, seq, CAST(sum(r + g + b) AS BIGINT) AS total, CAST(sum((r + g + b) * (cell + 1)) AS BIGINT) AS digest

@@ -174,6 +174,16 @@ def scene_assoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyframes.scene_of(picks, scenes).select("stream_id", "pts", "start_pts")
 
 
+def scene_assoc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame, and its scene: from a histogram cut, or the stream's first frame, up to the next cut."""
+    rows = lineitem_rows(spark, sf_dir).select("stream_id", "pts")
+    cuts = detectors.histogram_cuts(lineitem_frames(spark, sf_dir), HIST).select("stream_id", F.col("pts").alias("start_pts"))
+    starts = cuts.unionByName(rows.groupBy("stream_id").agg(F.min("pts").alias("start_pts"))).distinct()
+    after = F.lead("start_pts").over(Window.partitionBy("stream_id").orderBy("start_pts"))
+    scenes = starts.select("stream_id", "start_pts", F.coalesce(after, F.lit(1 << 62)).alias("end_pts"))
+    return keyframes.scene_of(rows, scenes).select("stream_id", "pts", "start_pts")
+
+
 def phash_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_double(_features(spark, sf_dir, "phash_distance"), "phash_distance", drop_nulls=True)
 

@@ -39,6 +39,12 @@ def test_oracle(spark, sf, name):
     assert got and got == want
 
 
+def test_every_frame_has_a_scene(spark, sf):
+    got = [tuple(r) for r in QUERIES["scene_assoc_all"](spark, sf).select("stream_id", "pts").collect()]
+    want = [tuple(r) for r in S.lineitem_rows(spark, sf).select("stream_id", "pts").collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_chunks_equal_whole_streams(spark, sf):
     frames = S.lineitem_frames(spark, sf)
     wanted = ("corr_luma", "phash_distance", "d_hue", "d_edges", "luma_mean")
