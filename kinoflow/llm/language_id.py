@@ -144,8 +144,9 @@ def _says(tag: Column, languages: tuple[str, ...], trust: float) -> Column:
 
 def markup_language(text: Column) -> Column:
     """The language that a page's root element declares, without a region; null where it declares none."""
-    root = F.regexp_extract(F.substr(text, F.lit(1), F.lit(2048)), r"(?i)<html\b[^>]{0,512}?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)
-    return F.lower(F.nullif(root, F.lit("")))
+    root = F.when(F.contains(text, F.lit("<")), F.regexp_extract(text, r"(?i)<html\b[^>]*+", 0))
+    lang = F.regexp_extract(root, r"(?i)\blang\s*+=\s*+[\"']?([a-z]{2,3})", 1)
+    return F.lower(F.nullif(lang, F.lit("")))
 
 
 def visible(text: Column) -> Column:

@@ -162,6 +162,12 @@ def test_language_of_pages(spark, sf, tmp_path):
     assert sorted(found) == sorted(want.select("doc_id", "language", "probability", "text_language", "accepted").collect())
 
 
+def test_markup_language_far_down(spark):
+    far = ["<!--" + "x" * 5000 + '--><html lang="fr">', "<html data-x='" + "y" * 3000 + "' LANG=es-MX><p>", "<html><p lang=de>", "text"]
+    frame = spark.createDataFrame([(t,) for t in far], "text string")
+    assert [r[0] for r in frame.select(language_id.markup_language(F.col("text"))).collect()] == ["fr", "es", None, None]
+
+
 def test_language_host_without_dot(spark):
     """Sums of a host without a dot count once: prior of all, then its own."""
     none = np.log(np.full((language_id.BUCKETS, 3), 1e-9))
