@@ -58,11 +58,12 @@ def address(url: str) -> Column:
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(url, target): canonical links and refresh redirects that pages declare, as absolute urls."""
+    """(url, target): all canonical links and refresh redirects that pages declare outside comments, as absolute urls."""
 
-    def target(has: str, tag: str, value: str) -> Column:
-        found = F.regexp_extract(F.regexp_extract(F.col("html"), tag, 0), value, 1)
-        return F.when(F.regexp_like(F.col("html"), F.lit(has)), found)
+    def targets(has: str, tag: str, value: str) -> Column:
+        html = F.regexp_replace("html", r"(?s)<!--.*?(?:-->|\z)", " ")
+        found = F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, value, 1))
+        return F.when(F.regexp_like(F.col("html"), F.lit(has)), found).otherwise(F.array().cast("array<string>"))
 
     links = (
         pages.select(F.col(url).alias("url"), F.col(html).alias("html"))
@@ -70,13 +71,13 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         .select(
             "url",
             F.explode(
-                F.array(
-                    target(
+                F.concat(
+                    targets(
                         "(?i)canonical",
                         r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>",
                         r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)",
                     ),
-                    target(
+                    targets(
                         "(?i)refresh",
                         r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>",
                         r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)",

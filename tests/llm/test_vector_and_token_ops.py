@@ -117,6 +117,21 @@ def test_url_filter_aliases(spark):
     assert url_filters.filter_urls(frame.limit(0)).count() == 0
 
 
+def test_page_links_takes_all_tags(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    hop = '<meta http-equiv="refresh" content="0; url={}">'.format
+    rows = [
+        ("http://a.com/1", "<!-- " + link("http://no.com/") + " -->" + link("http://b.com/")),
+        ("http://a.com/2", '<link rel="canonical">' + link("/x")),
+        ("http://a.com/3", hop("http://c.com/") + hop("http://d.com/") + '<meta http-equiv="refresh" content="5">'),
+        ("http://a.com/4", "<p>canonical refresh</p>"),
+        ("http://a.com/5", link("http://e.com/") + "<!-- canonical " + link("http://no.com/")),
+    ]
+    frame = spark.createDataFrame(rows, "url string, html string")
+    want = [("1", "http://b.com/"), ("2", "http://a.com/x"), ("3", "http://c.com/"), ("3", "http://d.com/"), ("5", "http://e.com/")]
+    assert sorted((r["url"][-1], r["target"]) for r in url_filters.page_links(frame).collect()) == want
+
+
 def test_language_held_out(spark, sf):
     """Trained on even ids, held against labels of the others by text alone, and with all evidence."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
