@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,7 +57,8 @@ class Encoder:
     """Splits words into the pieces with the largest sum of scores; a character that no piece covers becomes bytes.
 
     Words of equal length are columns of one matrix and advance together. A substring's hash is the difference of two
-    prefix hashes; it is looked up among the sorted hashes of all pieces. Of equal sums the longer last piece wins.
+    prefix hashes; it is looked up among the sorted hashes of all pieces, and what is found is compared character by
+    character before it counts. Of equal sums the longer last piece wins.
     """
 
     def __init__(self, vocabulary: Pieces):
@@ -73,10 +75,14 @@ class Encoder:
             raise ValueError("two pieces have one hash")
         self.sorted_scores = vocabulary.scores[self.order]
         self.sorted_ids = vocabulary.ids[self.order]
+        self.sizes = np.array([len(w) for w in vocabulary.words], np.int64)[self.order]
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        self.spelt = np.frombuffer("".join(vocabulary.words[i] for i in self.order).encode("utf-32-le"), "<u4")
         self.maybe = np.zeros(1 << 20, bool)  # whether any key begins with these 20 bits
         self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.unknown = float(vocabulary.scores.min()) - 10.0
-        self.key = (len(vocabulary.words), hash(vocabulary.words), float(vocabulary.scores.sum()))
+        told = "\0".join(vocabulary.words).encode() + vocabulary.ids.tobytes() + vocabulary.scores.tobytes() + vocabulary.byte_ids.tobytes()
+        self.key = hashlib.sha256(told).digest()
         several = {c for w in vocabulary.words if len(w) > 1 for c in w}
         self.newline_alone = "\n" not in several  # then a line's end also ends a word
         self.starts = np.concatenate([[0], np.cumsum([len(x) for x in vocabulary.spelled])]).astype(np.int64)
@@ -93,10 +99,18 @@ class Encoder:
         x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return (x ^ (x >> np.uint64(32))) * np.uint64(2 * n + 1)
 
+    def _same(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Whether the pieces at these places are spelled by the columns of ``codes``."""
+        size = len(codes)
+        same = self.sizes[at] == size
+        there = np.minimum(self.firsts[at] + np.arange(size)[:, None], len(self.spelt) - 1)
+        return same & (self.spelt[there] == codes).all(axis=0)
+
     def _best(self, words: list[str]) -> list[bytes]:
         """Ids, as little-endian 32-bit integers, of words of one length."""
         n = len(words[0])
-        hashes = self._prefixes(_codes(words, n))
+        codes = _codes(words, n)
+        hashes = self._prefixes(codes)
         best = np.full((n + 1, len(words)), -np.inf)
         best[0] = 0
         back = np.zeros((n + 1, len(words)), np.int32)
@@ -109,6 +123,8 @@ class Encoder:
                 known = self.keys[at] == key[near]
                 near, at = near[known], at[known]
                 if size == 1:  # bytes, where no piece covers the character
+                    same = self._same(at, codes[end - 1 : end, near])
+                    near, at = near[same], at[same]
                     total = best[end - 1] + self.unknown
                     total[near] = best[end - 1, near] + self.sorted_scores[at]
                     ids = np.full(len(words), -1, np.int32)
@@ -117,7 +133,8 @@ class Encoder:
                     best[end, better], back[end, better], piece[end, better] = total[better], 1, ids[better]
                 elif len(near):
                     total = best[end - size, near] + self.sorted_scores[at]
-                    better = total > best[end, near]
+                    better = np.flatnonzero(total > best[end, near])
+                    better = better[self._same(at[better], codes[end - size : end, near[better]])]
                     near, at = near[better], at[better]
                     best[end, near], back[end, near], piece[end, near] = total[better], size, self.sorted_ids[at]
         at, rows = np.full(len(words), n), np.arange(len(words))
@@ -236,7 +253,9 @@ def round_trip(
     """Adds the ids of each whole text as :func:`encode` does, and whether decoding them, as :func:`decode` does, gives
     the text back (a null text: an empty one). One pass in one Python worker: ids aren't sent there a second time.
 
-    All other columns stay; columns of the new names are replaced."""
+    Ties between splits of equal sum go to the longer last piece; repeated rows each get the same ids; a long text is
+    worked on word by word, a word in pieces of bounded memory only as its length allows (time and memory grow in
+    proportion to it). Empty table: no rows. All other columns stay; columns of the new names are replaced."""
     small_batches(docs.sparkSession)
     get = _encoder(docs.sparkSession.sparkContext.broadcast(vocabulary))
 

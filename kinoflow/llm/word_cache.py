@@ -2,7 +2,8 @@
 
 Words are found, hashed and looked up as arrays: prefix sums of weighted bytes give each word's 64-bit hash, an
 open-addressed table of hashes gives its entry, and one gather puts the ids of all words of a batch together. An entry
-is taken only if hash, length and first eight bytes agree.
+is taken only if all bytes agree: the first eight and the last eight beside the hash, and those between them eight by
+eight, which the table keeps for words of more than 16.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import pyarrow as pa
 from kinoflow.llm.hashing import mix64
 
 MOST = 690_000
+KEPT = 4 << 20  # eights of bytes that a table keeps of long words before it begins anew
 SPAN = 1 << 20  # bytes looked at together; a longer word is looked at alone
 WEIGHT = 0x9E3779B97F4A7C15 | 1
 UNWEIGHT = pow(WEIGHT, -1, 1 << 64)
@@ -46,6 +48,25 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((sums[ends - low] - sums[starts - low]) * down[starts - low] + (ends - starts).astype(np.uint64))
 
 
+class Words:
+    """Words of ``data`` (eight spare bytes at its end), as arrays: hash, length, first and last eight bytes."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None):
+        self.eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        self.start, self.length = starts, ends - starts
+        self.h = word_hashes(data, starts, ends) if hashes is None else hashes
+        short = (np.uint64(1) << (8 * np.minimum(self.length, 7)).astype(np.uint64)) - np.uint64(1)
+        self.head = self.eights[starts] & np.where(self.length < 8, short, ~np.uint64(0))
+        self.tail = np.where(self.length > 8, self.eights[np.maximum(ends - 8, 0)], np.uint64(0))
+
+    def inner(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(eights between the first and the last eight bytes of these words, one after another; how many each has)."""
+        n = np.maximum((self.length[at] - 16 + 7) // 8, 0)
+        done = np.cumsum(n)
+        nth = np.arange(int(done[-1]) if len(done) else 0) - np.repeat(done - n, n)
+        return self.eights[np.repeat(self.start[at], n) + 8 * (nth + 1)], n
+
+
 class WordTable:
     def __init__(self, most: int = MOST):
         self.most = most
@@ -54,38 +75,62 @@ class WordTable:
 
     def clear(self) -> None:
         self.entry = np.full(1 << self.bits, -1, np.int32)
-        self.size = self.used = 0
+        self.size = self.used = self.kept = 0
         # Zeros take no memory until they are written, so there is room for all entries from the start.
-        self.keys, self.head = np.zeros(2 * self.most, np.uint64), np.zeros(2 * self.most, np.uint64)
+        for name in ("keys", "head", "tail"):
+            setattr(self, name, np.zeros(2 * self.most, np.uint64))
         self.length, self.count = np.zeros(2 * self.most, np.int32), np.zeros(2 * self.most, np.int32)
-        self.first, self.ids = np.zeros(2 * self.most, np.int64), np.zeros(16 * self.most, np.uint32)
+        self.first, self.inner = np.zeros(2 * self.most, np.int64), np.zeros(2 * self.most, np.int64)
+        self.ids, self.eights = np.zeros(16 * self.most, np.uint32), np.zeros(1 << 16, np.uint64)
+
+    @property
+    def full(self) -> bool:
+        return self.size > self.most or self.kept > KEPT
 
     def _slots(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def find(self, h: np.ndarray, head: np.ndarray, length: np.ndarray) -> np.ndarray:
+    def _same(self, words: Words, at: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Whether these words are those of the entries, byte by byte."""
+        same = (self.keys[entry] == words.h[at]) & (self.length[entry] == words.length[at])
+        same &= (self.head[entry] == words.head[at]) & (self.tail[entry] == words.tail[at])
+        if len(long := np.flatnonzero(same & (words.length[at] > 16))):
+            own, n = words.inner(at[long])
+            firsts = np.cumsum(n) - n
+            there = self.eights[np.arange(len(own)) + np.repeat(self.inner[entry[long]] - firsts, n)]
+            same[long] = np.logical_and.reduceat(own == there, firsts)
+        return same
+
+    def find(self, words: Words, at: np.ndarray | None = None) -> np.ndarray:
         """The entry of each word, or -1."""
-        out = np.full(len(h), -1, np.int64)
-        live, slot = np.arange(len(h)), self._slots(h)
+        at = np.arange(len(words.h)) if at is None else at
+        out = np.full(len(at), -1, np.int64)
+        live, slot = np.arange(len(at)), self._slots(words.h[at])
         while len(live):
-            at = self.entry[slot]
-            hit = (at >= 0) & (self.keys[at] == h[live]) & (self.head[at] == head[live]) & (self.length[at] == length[live])
-            out[live[hit]] = at[hit]
-            on = ~hit & (at >= 0)
+            entry = self.entry[slot]
+            hit = entry >= 0
+            hit[hit] = self._same(words, at[live[hit]], entry[hit])
+            out[live[hit]] = entry[hit]
+            on = ~hit & (entry >= 0)
             live, slot = live[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, h: np.ndarray, head: np.ndarray, length: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
-        n = len(h)
+    def add(self, words: Words, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        n = len(at)
         grown = lambda x, need: x if len(x) >= need else np.concatenate([x, np.zeros(max(need, 2 * len(x)) - len(x), x.dtype)])
-        for name in ("keys", "head", "length", "first", "count"):
+        for name in ("keys", "head", "tail", "length", "first", "inner", "count"):
             setattr(self, name, grown(getattr(self, name), self.size + n))
+        eights, many = words.inner(at)
         self.ids = grown(self.ids, self.used + len(ids))
+        self.eights = grown(self.eights, self.kept + len(eights))
         new = slice(self.size, self.size + n)
-        self.keys[new], self.head[new], self.length[new], self.count[new] = h, head, length, counts
+        self.keys[new], self.head[new], self.tail[new] = words.h[at], words.head[at], words.tail[at]
+        self.length[new], self.count[new] = words.length[at], counts
         self.first[new] = self.used + np.cumsum(counts) - counts
+        self.inner[new] = self.kept + np.cumsum(many) - many
         self.ids[self.used : self.used + len(ids)] = ids
-        wait, slot = np.arange(n), self._slots(h)
+        self.eights[self.kept : self.kept + len(eights)] = eights
+        wait, slot = np.arange(n), self._slots(words.h[at])
         while len(wait):
             free = self.entry[slot] < 0
             _, winners = np.unique(slot[free], return_index=True)
@@ -96,6 +141,7 @@ class WordTable:
             wait, slot = wait[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
         self.size += n
         self.used += len(ids)
+        self.kept += len(eights)
 
 
 def forget() -> None:
@@ -122,25 +168,22 @@ def encode_words(
         _TABLES[key] = WordTable(most)
     table = _TABLES[key]
     padded = np.frombuffer(data + bytes(8), np.uint8)
-    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     parts, counts, at = [], [], 0
     while at < len(starts):
         stop = max(at + 1, int(np.searchsorted(ends, starts[at] + SPAN, side="right")))
         stop = min(stop, at + table.most)  # so the table, of three slots for each of ``most``, never fills
         s, e = starts[at:stop], ends[at:stop]
         at = stop
-        if table.size > table.most:
+        if table.full:
             table.clear()
-        h, length = word_hashes(padded, s, e), e - s
-        mask = np.where(length < 8, (np.uint64(1) << (8 * np.minimum(length, 7)).astype(np.uint64)) - np.uint64(1), ~np.uint64(0))
-        head = eights[s] & mask
-        found = table.find(h, head, length)
+        words = Words(padded, s, e)
+        found = table.find(words)
         while len(holes := np.flatnonzero(found < 0)):
-            _, once = np.unique(h[holes], return_index=True)
+            _, once = np.unique(words.h[holes], return_index=True)  # different words of one hash come in further rounds
             once = holes[once]
-            words = [data[i:j].decode() for i, j in zip(s[once].tolist(), e[once].tolist(), strict=True)]
-            table.add(h[once], head[once], length[once], *encode(words))
-            found[holes] = table.find(h[holes], head[holes], length[holes])
+            new = [data[i:j].decode() for i, j in zip(s[once].tolist(), e[once].tolist(), strict=True)]
+            table.add(words, once, *encode(new))
+            found[holes] = table.find(words, holes)
         n = table.count[found].astype(np.int64)
         done = np.cumsum(n)
         total = int(done[-1]) if len(done) else 0
