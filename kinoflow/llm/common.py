@@ -14,18 +14,40 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (local tests) a folder of our own is set.
+    Only where a local session has none (tests) a folder of our own is set. On a cluster without one there is no folder
+    that all see, and the driver's own disk would lose rows: an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="kinoflow-")
-        sc.setCheckpointDir(found)
-    elif not sc.getCheckpointDir():
+        passing(spark, found)
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found
 
 
+def passing(spark: SparkSession, path: str) -> str:
+    """Marks a folder to be removed when the driver's JVM ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def spare(taken: list[str], *names: str) -> list[str]:
+    """Names for columns that are added for a while: each lengthened until it clashes with none of ``taken``."""
+    used = {x.lower() for x in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Runs ``df`` and cuts its lineage; the rows lie in the shared folder, so lost executors cost nothing."""
     shared_dir(df.sparkSession)
@@ -40,11 +62,29 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    passing(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hub_join(left: DataFrame, right: DataFrame, key: str, of: str, n: str, rows: int) -> DataFrame:
+    """``left`` with the other columns of ``right``'s row for its ``key``; rows without one go. No name may clash.
+
+    ``right`` has one row a key ``of``, and in ``n`` how many of ``left``'s ``rows`` rows have that key. Keys that hold
+    more than a thousandth of them (and more than 64) are at most 1000: they are broadcast, and their rows are dealt out
+    by a hash of the whole row. All others are joined by key. So no task gets all rows of a hot key.
+    """
+    limit = max(64, rows // 1000)
+    others = [c for c in right.columns if c not in (of, n)]
+    hub, hub_row, salt, row, none = spare([*left.columns, *right.columns], "hub", "hub_row", "salt", "row", "none")
+    hubs = right.where(F.col(n) > limit).select(F.col(of).alias(hub), F.struct(*others).alias(hub_row))
+    rest = right.where(F.col(n) <= limit).select(of, F.struct(*others).alias(row), F.lit(0).alias(none))
+    some = left.join(F.broadcast(hubs), F.col(key) == F.col(hub), "left")
+    dealt = F.when(F.col(hub).isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(4096)).cast("int") + 1).otherwise(0)
+    both = some.withColumn(salt, dealt).join(rest, (F.col(key) == F.col(of)) & (F.col(salt) == F.col(none)), "left")
+    found = F.coalesce(hub_row, row)
+    return both.where(found.isNotNull()).select(*left.columns, *[found[c].alias(c) for c in others])
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lowers the session's Arrow batch size to ``rows``. Whole texts make the default of 10,000 rows tens of MB, and
     the buffers that grow to hold them stay with the executor's process."""

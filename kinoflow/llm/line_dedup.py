@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinoflow.llm.batches import flat, lists
-from kinoflow.llm.common import ascii_lower, kept, let, small_batches
+from kinoflow.llm.common import ascii_lower, kept, let, small_batches, spare
 from kinoflow.llm.perfect_hash import Shard
 from kinoflow.llm.word_cache import forget
 
@@ -39,50 +39,63 @@ def _distinct(keys: Column) -> Column:
     return let(ordered, lambda s: F.filter(s, lambda k, i: (i == 0) | (k != F.get(s, i - 1))))
 
 
-def build_shards(docs: DataFrame, min_chars: int, min_docs: int, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int, int]:
-    """(shard, data) for the keys found in at least ``min_docs`` rows; how many shards; how many bytes.
+def build_shards(docs: DataFrame, min_chars: int, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int, int]:
+    """(shard, data) for the distinct keys that repeat; how many shards; how many bytes.
 
     docs: doc_id, text. Each document counts a key once; counts combine before the shuffle, so common lines cost one
-    row a task. Shards hold about ``shard_keys`` keys whatever the input.
+    row a task. A key of one document alone needs no entry: a probe that finds none knows its count. Shards hold about
+    ``shard_keys`` keys whatever the input; a key's shard is its second hash modulo their number. The key of a null
+    doc_id counts; if no other holds it, it has no keeper and gets no entry either.
     """
     keys = docs.select("doc_id", F.explode_outer(_distinct(line_hashes(F.col("text"), min_chars))).alias("k"))
-    common = (
+    repeated = (
         keys.where("k is not null")
         .groupBy("k.h", "k.p")
         .agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-        .where((F.col("n") >= min_docs) & F.col("keeper").isNotNull())
+        .where("n > 1 and keeper is not null")
     )
-    common = kept(common, "line-keys")
-    n_shards = max(1, -(-common.count() // shard_keys))
+    repeated = kept(repeated, "line-keys")
+    n_shards = max(1, -(-repeated.count() // shard_keys))
 
     def build(table: pa.Table) -> pa.Table:
         column = lambda name: table.column(name).to_numpy()
         data = Shard.build(column("h").view(np.uint64), column("p").view(np.uint64), column("n"), column("keeper"))
         return pa.table({"shard": table.column("shard").slice(0, 1), "data": pa.array([data.to_bytes()], pa.binary())})
 
-    shards = common.withColumn("shard", F.pmod(F.xxhash64("p"), F.lit(n_shards)).cast("int"))
+    shards = repeated.withColumn("shard", F.pmod("p", F.lit(n_shards)).cast("int"))
     shards = kept(shards.groupBy("shard").applyInArrow(build, "shard int, data binary"), "line-shards")
     size = shards.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     return shards, n_shards, size
 
 
-def _prober(shards):
-    """Drop flags for the lines of each row. shards: broadcast bytes."""
-    loaded: list[Shard] = []
+def drops(shards: dict[int, Shard], n_shards: int, h: np.ndarray, p: np.ndarray, own: np.ndarray, min_docs: int) -> np.ndarray:
+    """Which lines go: each key probes its own shard, where the count says whether it is common enough and the keeper
+    who keeps it."""
+    out = np.zeros(len(h), bool)
+    of = p % n_shards
+    order = np.argsort(of, kind="stable")
+    ends = np.searchsorted(of[order], np.arange(n_shards + 1)) if n_shards > 1 else np.array([0, len(h)])
+    for k in np.flatnonzero(np.diff(ends)).tolist():
+        at = order[ends[k] : ends[k + 1]]
+        if k in shards:
+            known, count, keeper = shards[k].probe(h[at].view(np.uint64), p[at].view(np.uint64))
+            out[at] = known & (count >= min_docs) & (keeper != own[at])
+    return out
+
+
+def _prober(shards, n_shards: int, min_docs: int):
+    """Drop flags for the lines of each row. shards: broadcast (number, bytes); short lines have null hashes."""
+    loaded: dict[int, Shard] = {}
 
     @F.arrow_udf("array<boolean>")
     def flags(ids: pa.Array, h: pa.Array, p: pa.Array) -> pa.Array:
         if not loaded:
             forget()
-            loaded.extend(Shard.from_bytes(x) for x in shards.value)
+            loaded.update((k, Shard.from_bytes(x)) for k, x in shards.value)
         h, counts = flat(h)
         p, _ = flat(p)
         own = np.repeat(ids.fill_null(NO_KEEPER).to_numpy(zero_copy_only=False), counts)
-        drop = np.zeros(len(h), bool)
-        for shard in loaded:
-            known, _, keeper = shard.probe(h.view(np.uint64), p.view(np.uint64))
-            drop |= known & (keeper != own)
-        return lists(drop, counts)
+        return lists(drops(loaded, n_shards, h, p, own, min_docs), counts)
 
     return flags
 
@@ -100,51 +113,52 @@ def dedup_lines(
 
     A line's key is the line without white space at both ends and with A-Z lower-cased. Keys of at least ``min_chars``
     code points that at least ``min_docs`` rows hold lose all their lines but those of the largest id that holds one.
-    The distinct hashes of such keys are dealt to shards; each shard is a minimal perfect hash with arrays of
-    fingerprint, count and keeper (20 bytes and some bits a key). Documents probe the arrays where they lie: if all
-    shards together are under ``broadcast_bytes`` every worker gets them, and a text is neither shuffled nor joined;
-    beyond that, line hashes travel to their shard (salted, so a common line fills no task) and come back as the keys
-    to drop. Identity is 128 bits of hash.
+    The distinct hashes of keys that repeat are dealt to shards; each shard is a minimal perfect hash with arrays of
+    fingerprint, count and keeper (20 bytes and some bits a key). Documents probe their lines' shards, and the counts
+    there decide. If all shards together are under ``broadcast_bytes`` every worker gets them, and a text is neither
+    shuffled nor joined; beyond that, line hashes travel to their shard (salted, so a common line fills no task) and
+    come back as the keys to drop. Identity is 128 bits of hash.
 
     Null text: one empty line, stays null. Rows of one id: each counts, and all of the largest id keep their lines.
     Null id: counts as a row, is never the keeper; keys that only such rows hold stay. Empty table: no rows. All other
-    columns stay; columns named n_lines or n_dropped are replaced.
+    columns stay, whatever their names; columns named n_lines or n_dropped are replaced.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
+    min_docs = max(2, min_docs)  # one row keeps its own lines in any case
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    shards, n_shards, size = build_shards(base, min_chars, min_docs, shard_keys)
+    shards, n_shards, size = build_shards(base, min_chars, shard_keys)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    keys, drop, mark, one, of, lost = spare(docs.columns, "keys", "drop", "mark", "id", "of", "lost")
     lines = F.split(text, "\n", -1)
     if size <= broadcast_bytes:
-        data = spark.sparkContext.broadcast([bytes(r["data"]) for r in shards.select("data").collect()])
-        flagger = _prober(data)
-        keys = docs.withColumn("_keys", line_hashes(text, min_chars))
-        some = F.exists("_keys", lambda k: k.isNotNull())
+        data = spark.sparkContext.broadcast([(r["shard"], bytes(r["data"])) for r in shards.collect()])
+        flagger = _prober(data, n_shards, min_docs)
+        with_keys = docs.withColumn(keys, line_hashes(text, min_chars))
+        some = F.exists(keys, lambda k: k.isNotNull())
         zero = F.lit(0).cast("long")
-        h = F.when(some, F.transform("_keys", lambda k: F.coalesce(k["h"], zero))).otherwise(F.array().cast("array<long>"))
-        p = F.when(some, F.transform("_keys", lambda k: F.coalesce(k["p"], zero))).otherwise(F.array().cast("array<long>"))
-        out = keys.withColumn("_drop", flagger(F.col(id_col).cast("long"), h, p))
-        dropped = lambda i: F.coalesce(F.get("_drop", i), F.lit(False))
-        n_dropped = F.size(F.filter("_drop", lambda d: d))
+        h = F.when(some, F.transform(keys, lambda k: F.coalesce(k["h"], zero))).otherwise(F.array().cast("array<long>"))
+        p = F.when(some, F.transform(keys, lambda k: F.coalesce(k["p"], zero))).otherwise(F.array().cast("array<long>"))
+        out = with_keys.withColumn(drop, flagger(F.col(id_col).cast("long"), h, p))
+        dropped = lambda i: F.coalesce(F.get(drop, i), F.lit(False))
     else:
-        mark = F.xxhash64(text)
+        marked = F.xxhash64(text)
         probes = docs.select(
-            F.col(id_col).cast("long").alias("doc_id"), mark.alias("mark"),
+            F.col(id_col).cast("long").alias("doc_id"), marked.alias("mark"),
             F.explode_outer(_distinct(line_hashes(text, min_chars))).alias("k"),
         ).where("k is not null").select("doc_id", "mark", "k.h", "k.p")
-        lost = _routed(probes, shards, n_shards)
-        out = docs.withColumn("_mark", mark).join(
-            lost, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_of")), "left"
+        gone = _routed(probes, shards, n_shards, min_docs).toDF(one, of, lost)
+        out = docs.withColumn(mark, marked).join(
+            gone, F.col(id_col).cast("long").eqNullSafe(F.col(one)) & (F.col(mark) == F.col(of)), "left"
         )
-        out = out.withColumn("_keys", line_hashes(text, min_chars))
+        out = out.withColumn(keys, line_hashes(text, min_chars))
         out = out.withColumn(
-            "_drop",
-            F.transform("_keys", lambda k: k.isNotNull() & F.coalesce(F.array_contains("_lost", F.struct(k["h"].alias("h"), k["p"].alias("p"))), F.lit(False))),
+            drop,
+            F.transform(keys, lambda k: k.isNotNull() & F.coalesce(F.array_contains(lost, F.struct(k["h"].alias("h"), k["p"].alias("p"))), F.lit(False))),
         )
-        dropped = lambda i: F.get("_drop", i)
-        n_dropped = F.size(F.filter("_drop", lambda d: d))
+        dropped = lambda i: F.get(drop, i)
+    n_dropped = F.size(F.filter(drop, lambda d: d))
     rest = F.array_join(F.filter(lines, lambda _, i: ~dropped(i)), "\n")
     result = {
         "n_lines": F.size(lines).cast("long"),
@@ -154,9 +168,9 @@ def dedup_lines(
     return out.select(*[result.get(c, F.col(c)).alias(c) for c in names], *[result[c].alias(c) for c in ("n_lines", "n_dropped")])
 
 
-def _routed(probes: DataFrame, shards: DataFrame, n_shards: int, rows: int = 1_000_000) -> DataFrame:
-    """(_id, _of, _lost): for each document the keys whose lines go, found at the shards."""
-    probes = probes.withColumn("shard", F.pmod(F.xxhash64("p"), F.lit(n_shards)).cast("int"))
+def _routed(probes: DataFrame, shards: DataFrame, n_shards: int, min_docs: int, rows: int = 1_000_000) -> DataFrame:
+    """(doc_id, mark, lost): for each document the keys whose lines go, found at the shards."""
+    probes = probes.withColumn("shard", F.pmod("p", F.lit(n_shards)).cast("int"))
     loads = probes.groupBy("shard").count()
     salts = loads.select(F.col("shard").alias("s"), F.ceil(F.col("count") / rows).cast("int").alias("salts"))
     left = probes.join(F.broadcast(salts), F.col("shard") == F.col("s")).withColumn(
@@ -169,17 +183,12 @@ def _routed(probes: DataFrame, shards: DataFrame, n_shards: int, rows: int = 1_0
     def probe(rows: pa.Table, data: pa.Table) -> pa.Table:
         drop = np.zeros(rows.num_rows, bool)
         if data.num_rows and rows.num_rows:
-            shard = Shard.from_bytes(data.column("data")[0].as_py())
-            known, _, keeper = shard.probe(
-                rows.column("h").to_numpy().view(np.uint64), rows.column("p").to_numpy().view(np.uint64)
-            )
+            shard = {0: Shard.from_bytes(data.column("data")[0].as_py())}
             own = rows.column("doc_id").combine_chunks().fill_null(NO_KEEPER).to_numpy(zero_copy_only=False)
-            drop = known & (keeper != own)
+            drop = drops(shard, 1, rows.column("h").to_numpy(), rows.column("p").to_numpy(), own, min_docs)
         return rows.select(["doc_id", "mark", "h", "p"]).filter(pa.array(drop))
 
     found = left.groupBy("shard", "salt").cogroup(right.groupBy("shard", "salt")).applyInArrow(
         probe, "doc_id long, mark long, h long, p long"
     )
-    return found.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_of")).agg(
-        F.collect_set(F.struct("h", "p")).alias("_lost")
-    )
+    return found.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("h", "p")).alias("lost"))
