@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinoflow.llm.batches import pieces
-from kinoflow.llm.common import kept, let, small_batches
+from kinoflow.llm.common import kept, let, small_batches, spare
 from kinoflow.llm.word_cache import forget
 
 BUCKETS = 1 << 16
@@ -61,16 +61,16 @@ class LanguageModel:
 
 
 def fit(
-    docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = 1500, most: int = 64
+    docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = 1500
 ) -> LanguageModel:
     """Fits byte-trigram likelihoods on a sample of labelled rows: about ``sample`` documents of each language, whole,
-    chosen by a hash of their id, for the ``most`` most frequent languages. Trigrams are counted in the cluster; at
-    most BUCKETS * languages sums come to the driver. Rows with a null text, id or language aren't used. Bytes are counted
-    too, for :func:`background`, of which MARGIN is taken off.
+    chosen by a hash of their id, for every language that a label names. Trigrams are counted in the cluster; at
+    most BUCKETS * languages sums come to the driver, and the model takes 512 KB a language. Rows with a null text, id
+    or language aren't used. Bytes are counted too, for :func:`background`, of which MARGIN is taken off.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = rows.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
+    counts = rows.where("lang is not null").groupBy("lang").count().collect()
     if not counts:
         return LanguageModel((), np.zeros((BUCKETS, 1)))
     languages = tuple(sorted(r["lang"] for r in counts))
@@ -173,7 +173,7 @@ def identify(
     trust: float = 0.9,
     suffix_trust: float = 0.6,
     strength: float = 20.0,
-    broadcast_hosts: int = 200_000,
+    broadcast_bytes: int = 64 << 20,
     unknown: float = 0.05,
 ) -> DataFrame:
     """Adds language, probability, text_language, and accepted.
@@ -181,8 +181,8 @@ def identify(
     posterior ~ text likelihood * declared language * address suffix * host prior. The declared language is the
     column's, else the one in the text's HTML root. Host priors come from one grouped aggregation of text posteriors,
     summed by host before the shuffle, and are smoothed down a hierarchy: all, suffix, domain, host, each with
-    ``strength`` rows of its parent's prior (a host without a dot hangs on all directly); a row's own posterior is taken out of its host's sum. Host sums are
-    broadcast up to ``broadcast_hosts`` of them, else joined by a shuffle that adaptive execution splits at hot hosts.
+    ``strength`` rows of its parent's prior (a host without a dot hangs on all directly); a row's own posterior is taken out of its host's sum; a host without any text has its parent's prior. Host sums are
+    broadcast up to ``broadcast_bytes`` of them, else joined by a shuffle that adaptive execution splits at hot hosts.
 
     Beside the languages stands the hypothesis that a text is in none of them, with a prior of ``unknown`` and the
     likelihood of :func:`background`. Its part of the posterior lowers ``probability`` and goes to no host's sums, so
@@ -191,8 +191,9 @@ def identify(
     accepted: some text, a probability of at least ``least``, and, if given, a language in ``accept``.
 
     Pages' tags aren't read as text. Null or empty text, or one without letters: the other evidence decides; not accepted. Null host: the prior of all
-    rows. Null or unknown declared languages say nothing. Ties: the first language by name. A model without languages:
-    null, 0 and not accepted. All other columns stay; columns of the added names are replaced.
+    rows. Null or unknown declared languages say nothing. Ties: the first language by name. Repeated rows: each is
+    judged, and counts for its host. A model without languages: null, 0 and not accepted. Empty table: no rows. All
+    other columns stay, whatever their names; columns of the added names are replaced.
     """
     languages, n = model.languages, len(model.languages)
     added = ("language", "probability", "text_language", "accepted")
@@ -203,16 +204,15 @@ def identify(
     small_batches(docs.sparkSession)
     score = scorer(model)
     text = F.col(text_col)
-    rows = docs.select(*names).withColumn("_ll", score(visible(text))).withColumn(
-        "_post", F.slice(softmax_of(F.col("_ll")), 1, n)
-    )
+    ll, post, key, final, host_of, own_of, domain_of = spare(docs.columns, "ll", "post", "key", "final", "h", "own", "p_domain")
+    rows = docs.select(*names).withColumn(ll, score(visible(text))).withColumn(post, F.slice(softmax_of(F.col(ll)), 1, n))
     host = F.col(host_col) if host_col else F.lit(None).cast("string")
     domain, suffix = host_levels(host)
-    rows = rows.withColumns({"_host": F.lower(host)})
+    rows = rows.withColumn(key, F.lower(host))
 
-    sums = [F.sum(F.get("_post", F.lit(i))).alias(f"s{i}") for i in range(n)]
-    seen = F.exists("_ll", lambda x: x != 0)
-    by_host = rows.where(seen).groupBy("_host").agg(F.count("*").alias("rows"), *sums)
+    seen = F.exists(ll, lambda x: x != 0)
+    sums = [F.sum(F.when(seen, F.get(post, F.lit(i))).otherwise(0.0)).alias(f"s{i}") for i in range(n)]
+    by_host = rows.groupBy(F.col(key).alias("_host")).agg(*sums)
     of_host, of_suffix = host_levels(F.col("_host"))
     by_host = by_host.withColumns({"_domain": of_host, "_suffix": of_suffix})
     by_host = kept(by_host, "host-sums")
@@ -235,23 +235,24 @@ def identify(
         F.col("_domain").alias("d"), smoothed("s", F.col("p_suffix")).alias("p_domain")
     )
     hosts = by_host.where("_host is not null").join(domains, F.col("_domain") == F.col("d"), "left").select(
-        F.col("_host").alias("h"),
-        F.array(*[F.col(f"s{i}") for i in range(n)]).alias("own"),
-        F.coalesce("p_domain", every).alias("p_domain"),
+        F.col("_host").alias(host_of),
+        F.array(*[F.col(f"s{i}") for i in range(n)]).alias(own_of),
+        F.coalesce("p_domain", every).alias(domain_of),
     )
     hosts = kept(hosts, "host-priors")
-    hosts = F.broadcast(hosts) if hosts.count() <= broadcast_hosts else hosts
-    rows = rows.join(hosts, F.col("_host") == F.col("h"), "left")
-    others = F.zip_with("own", "_post", lambda s, p: F.greatest(s - F.when(seen, p).otherwise(0.0), F.lit(0.0)))
+    size = hosts.agg(F.sum(F.octet_length(host_of) + 16 * n + 64)).first()[0] or 0
+    hosts = F.broadcast(hosts) if size <= broadcast_bytes else hosts
+    rows = rows.join(hosts, F.col(key) == F.col(host_of), "left")
+    others = F.zip_with(own_of, post, lambda s, p: F.greatest(s - F.when(seen, p).otherwise(0.0), F.lit(0.0)))
     at_host = let(
         others,
         lambda o: let(
             F.aggregate(o, F.lit(0.0), lambda a, x: a + x),
-            lambda size: F.zip_with(o, F.col("p_domain"), lambda s, p: (s + strength * p) / (size + strength)),
+            lambda size: F.zip_with(o, F.col(domain_of), lambda s, p: (s + strength * p) / (size + strength)),
         ),
     )
     log_prior = F.concat(
-        F.transform(F.coalesce(F.when(F.col("h").isNotNull(), at_host), every), lambda p: F.log(p * (1 - unknown))),
+        F.transform(F.coalesce(F.when(F.col(host_of).isNotNull(), at_host), every), lambda p: F.log(p * (1 - unknown))),
         F.array(F.lit(float(np.log(unknown)))),
     )
 
@@ -261,15 +262,15 @@ def identify(
     for ending, lang in SUFFIXES.items():
         from_suffix = F.when(suffix == ending, lang).otherwise(from_suffix)
     parts = F.arrays_zip(
-        F.col("_ll").alias("a"), log_prior.alias("b"), _says(declared, languages, trust).alias("c"),
+        F.col(ll).alias("a"), log_prior.alias("b"), _says(declared, languages, trust).alias("c"),
         _says(from_suffix, languages, suffix_trust).alias("d"),
     )
-    final = softmax_of(F.transform(parts, lambda x: x["a"] + x["b"] + x["c"] + x["d"]))
+    fused = softmax_of(F.transform(parts, lambda x: x["a"] + x["b"] + x["c"] + x["d"]))
     names_of = F.array(*[F.lit(x) for x in languages])
-    rows = rows.withColumn("_final", F.slice(final, 1, n))
-    best = F.array_max("_final")
+    rows = rows.withColumn(final, F.slice(fused, 1, n))
+    best = F.array_max(final)
     first = lambda c: F.get(names_of, F.array_position(c, F.array_max(c)).cast("int") - 1)
-    language, probability = first(F.col("_final")), F.round(best, 6)
+    language, probability = first(F.col(final)), F.round(best, 6)
     ok = seen & (best >= least)
     if accept is not None:
         ok = ok & language.isin(*accept)
@@ -277,7 +278,7 @@ def identify(
         *names,
         language.alias("language"),
         probability.alias("probability"),
-        F.when(seen, first(F.col("_ll"))).alias("text_language"),
+        F.when(seen, first(F.col(ll))).alias("text_language"),
         ok.alias("accepted"),
     )
 
