@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinoflow.llm.common import cut
 
-BLOCK, QUERY_BLOCK = 8192, 2048
+BLOCK, QUERY_BLOCK = 16384, 2048
 
 
 def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -23,18 +23,20 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return unit[chosen]
 
 
-def permutations(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """(vectors, pivots): the place of each pivot among a vector's nearest ``prefix``, and ``prefix`` for all others."""
-    near = -(vectors @ pivots.T)
-    order = np.argsort(near, axis=1, kind="stable")
-    ranks = np.empty(order.shape, np.int16)
-    np.put_along_axis(ranks, order, np.arange(order.shape[1], dtype=np.int16)[None, :].repeat(len(order), 0), 1)
-    return np.minimum(ranks, prefix).astype(np.uint8)
+def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
+    """(vectors, prefix): the numbers of each vector's nearest pivots, nearest first; equally near ones by number."""
+    out = np.empty((len(vectors), prefix), np.int64)
+    for i in range(0, len(vectors), 2048):
+        away = -(vectors[i : i + 2048] @ pivots.T)
+        near = np.sort(np.argpartition(away, prefix - 1, axis=1)[:, :prefix], axis=1)
+        order = np.argsort(np.take_along_axis(away, near, 1), axis=1, kind="stable")
+        out[i : i + 2048] = np.take_along_axis(near, order, 1)
+    return out
 
 
 class BlockIndex:
-    """The inverted files of a block of vectors: one posting list a pivot with the place it has in each vector's
-    permutation. Equal vectors share an entry."""
+    """The inverted files of a block of vectors: each pivot's posting list holds the vectors that have it among their
+    nearest ``prefix`` pivots, and the place it has there. Equal vectors share an entry."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, lift: float, pivots: np.ndarray, prefix: int):
         order = np.argsort(ids, kind="stable")
@@ -43,18 +45,31 @@ class BlockIndex:
         by = np.argsort(inverse.reshape(-1), kind="stable")
         self.ids, counts = ids[by], np.bincount(inverse.reshape(-1), minlength=len(self.vectors))
         self.first = np.concatenate([[0], np.cumsum(counts)])
-        self.posted = np.ascontiguousarray(permutations(lifted(self.vectors, lift), pivots, prefix).T)
-
-    def search(self, query_id: int, query: np.ndarray, ranks: np.ndarray, prefix: int, most: int, k: int):
-        """The ``k`` best of the ``most`` entries that are nearest by footrule, as (ids, exact scores)."""
+        self.prefix = prefix
+        own = nearest_pivots(lifted(self.vectors, lift), pivots, prefix).reshape(-1)
+        by_pivot = np.argsort(own, kind="stable")
+        self.entries = (by_pivot // prefix).astype(np.int32)
+        self.places = (by_pivot % prefix).astype(np.int16)
+        self.lists = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(pivots)))])
+
+    def nearest(self, asked: np.ndarray, most: int) -> np.ndarray:
+        """The ``most`` entries that are nearest by footrule to a query whose nearest pivots are ``asked``.
+
+        Over pivots that either side lacks (place ``prefix``), the footrule distance is a constant less twice the sum
+        of prefix - max(place, place) over the pivots that both have, so only the query's own lists are read.
+        """
         n = len(self.vectors)
-        if most < n:
-            own = np.flatnonzero(ranks < prefix)
-            lists, place = self.posted[own], ranks[own][:, None]
-            away = (np.maximum(lists, place) - np.minimum(lists, place)).sum(axis=0, dtype=np.uint32)
-            found = np.argpartition(away, most - 1)[:most]
-        else:
-            found = np.arange(n)
+        if most >= n:
+            return np.arange(n)
+        spans = [slice(self.lists[p], self.lists[p + 1]) for p in asked.tolist()]
+        seen = np.concatenate([self.entries[x] for x in spans])
+        gains = np.concatenate([self.prefix - np.maximum(self.places[x], i) for i, x in enumerate(spans)])
+        near = np.bincount(seen, gains, minlength=n)
+        return np.argpartition(-near, most - 1)[:most]
+
+    def search(self, query_id: int, query: np.ndarray, asked: np.ndarray, most: int, k: int):
+        """The ``k`` best of the ``most`` entries that are nearest by footrule, as (ids, exact scores)."""
+        found = self.nearest(asked, most)
         scores = (self.vectors[found] * query).sum(axis=1)
         if len(found) > k + 1:  # the query's own entry may be one
             bound = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
@@ -83,25 +98,26 @@ def search(
     vec_col: str = "embedding",
     every: int = 20,
     k: int = 20,
-    pivots: int = 128,
+    pivots: int = 1024,
     prefix: int = 96,
-    sample: int = 2048,
-    share: float = 0.3,
-    least: int = 512,
+    sample: int = 4096,
+    share: float = 0.04,
+    each: int = 12,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose id is divisible by ``every``, the ``k`` found with the
     largest inner product, in double precision, its own row left out; ties go to the smaller id.
 
     Pivots are ``pivots`` mutually far vectors of a sample of at most ``sample`` rows (chosen by a hash). Every vector
-    is represented by the order of its nearest pivots, of which ``prefix`` are posted, and is indexed: vectors are dealt
-    into blocks of about 8192 rows, queries into blocks of about 2048, and a task holds one of each. Within it, the
-    posting lists of a query's own pivots add up to its footrule distance to each entry; the nearest ``share`` of the
-    entries (at least ``least``) are reranked by exact products of the original vectors. A second stage merges k rows
-    a query and block. Memory of a task doesn't depend on the input.
+    is represented by its nearest ``prefix`` pivots in order, and posted in those pivots' lists alone: vectors are dealt
+    into blocks of about 16384 rows, queries into blocks of about 2048, and a task holds one of each. Within it a query
+    reads the lists of its own nearest pivots, which give the footrule distance; the nearest entries (``share`` of the
+    block, and ``each`` for each of the k asked for) are reranked by exact products of the original vectors. A second
+    stage merges k rows a query and block. Memory of a task doesn't depend on the input. Recall doesn't depend on the
+    number of blocks: each query takes the same share of each.
 
     Vectors that are null, zero, hold null or non-finite components, or have another number of components than most
-    have, take no part, neither do null ids. Rows of one id: each is a candidate. Fewer than k candidates: all. Empty
-    table: no rows. Other columns don't matter.
+    have, take no part, neither do null ids. Rows of one id: each is a candidate, and the id asks once, with the smallest
+    of its vectors. Fewer than k candidates: all. Empty table: no rows. Other columns don't matter.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
@@ -116,8 +132,8 @@ def search(
     norm = float(rows.agg(F.max(square)).first()[0]) ** 0.5
     picked = rows.orderBy(F.xxhash64("v"), "id").limit(sample).select("v").collect()
     chosen = choose_pivots(lifted(np.array([r["v"] for r in picked]), norm), pivots)
-    prefix = min(prefix, len(chosen), 255)
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0)
+    prefix = min(prefix, len(chosen))
+    asked = rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))
     blocks, query_blocks = max(1, -(-sizes["n"] // BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
 
     def dealt(df: DataFrame, own: str, n: int, other: str, m: int, is_query: bool) -> DataFrame:
@@ -138,12 +154,10 @@ def search(
         out_q, out_id, out_score = [], [], []
         if (~asks).any():
             index = BlockIndex(ids[~asks], values[~asks], norm, chosen, prefix)
-            n = len(index.vectors)
-            most = min(n, max(int(np.ceil(share * n)), -(-least // blocks)))
-            unit = np.column_stack([values[asks], np.zeros(asks.sum())])
-            ranks = permutations(unit, chosen, prefix)
-            for q, v, r in zip(ids[asks].tolist(), values[asks], ranks, strict=True):
-                found, scores = index.search(q, v, r, prefix, most, k)
+            most = int(np.ceil(share * len(index.vectors))) + each * k
+            near = nearest_pivots(np.column_stack([values[asks], np.zeros(asks.sum())]), chosen, prefix)
+            for q, v, r in zip(ids[asks].tolist(), values[asks], near, strict=True):
+                found, scores = index.search(q, v, r, most, k)
                 out_q.append(np.full(len(found), q))
                 out_id.append(found)
                 out_score.append(scores)
