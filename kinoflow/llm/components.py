@@ -2,8 +2,8 @@
 
 Each round first hangs every larger neighbour of a node on the smallest node around it, then every smaller one. Trees
 get flat in a logarithmic number of rounds, and no round makes more rows than there are edges. Both halves are a
-grouped minimum (combined before the shuffle) and an equi-join that adaptive execution splits where a hub holds many
-edges. Edges lie in the shared folder between rounds and never come to the driver.
+grouped minimum (combined before the shuffle) and an equi-join in which hubs, nodes of many edges, are broadcast and
+their edges dealt over all tasks. Edges lie in the shared folder between rounds and never come to the driver.
 """
 
 from __future__ import annotations
@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinoflow.llm.common import cut
+from kinoflow.llm.common import cut, hub_join
 
 
-def _star(ends: DataFrame) -> DataFrame:
+def _star(ends: DataFrame, rows: int) -> DataFrame:
     """``ends``: (u, v). The smallest of u and its v, as m, beside each v."""
-    least = ends.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return ends.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
+    least = ends.groupBy(F.col("u").alias("w")).agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+    return hub_join(ends, least, "u", "w", "n", rows)
 
 
 def _sign(edges: DataFrame):
@@ -37,8 +37,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         if not before[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = _star(large.distinct())
+        large = _star(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _star(large.distinct(), before[0])
         now = cut(
             small.select(F.col("u"), F.col("m").alias("v"))
             .unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))

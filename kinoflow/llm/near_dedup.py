@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinoflow.llm.batches import lists, pieces
-from kinoflow.llm.common import cut, kept, small_batches
+from kinoflow.llm.common import cut, hub_join, kept, small_batches
 from kinoflow.llm.components import connected_components
 from kinoflow.llm.hashing import WordHashes, mix32, mix64, word_shingles
 from kinoflow.llm.word_cache import forget
@@ -174,8 +174,8 @@ def near_duplicates(
     With 40 bands of 6 coordinates, a pair of similarity 0.8 shares no band with probability 5e-6 (1 - 0.8**6)**40;
     more similar ones still less. All links found are exact.
 
-    Null or blank texts: no shingles, linked with nothing. Rows of one id count as one document, which has all their
-    links; each row is returned. Null ids: kept, component_id null, linked with nothing. Empty table: no rows. Other
+    Null or blank texts: no shingles, linked with nothing. Rows of one id count as one document, which has the
+    links of all their sets; each row is returned. Null ids: kept, component_id null, linked with nothing. Empty table: no rows. Other
     columns don't matter.
     """
     small_batches(docs.sparkSession)
@@ -196,9 +196,12 @@ def near_duplicates(
         members.groupBy("bucket")
         .agg(F.count("*").alias("m"), F.min(F.struct("rep", "n")).alias("pivot"))
         .where("m > 1")
-        .select(F.col("bucket").alias("of"), "m", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n"))
+        .select(
+            F.col("bucket").alias("of"), F.col("m").alias("size"), "m",
+            F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n"),
+        )
     )
-    within = kept(members.join(buckets, F.col("bucket") == F.col("of")).drop("of"), "buckets")
+    within = kept(hub_join(members, buckets, "bucket", "of", "size", bands * reps.count()), "buckets")
     fits = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
     spokes = within.where(F.col("rep") != F.col("pivot"))
     stars = spokes.where(fits).select("pivot", "rep").distinct()
@@ -221,7 +224,12 @@ def near_duplicates(
     open_buckets = far.select(F.col("bucket").alias("of")).distinct()
     rest = cut(within.join(open_buckets, F.col("bucket") == F.col("of"), "left_semi").select("bucket", "m", "rep", "n", "pivot"))
     more = _links_in_blocks(rest, linked, sets, percent)
-    named = connected_components(linked.unionByName(more))
+    # Rows of one id with different sets are one document: links between the sets' representatives.
+    ids = real.groupBy("doc_id").agg(F.min("low").alias("l0"), F.max("low").alias("l1"), F.min("high").alias("h0"), F.max("high").alias("h1"))
+    ids = ids.where("l0 != l1 or h0 != h1").select(F.col("doc_id").alias("id"))
+    doubles = real.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("low").alias("l"), F.col("high").alias("h"), "doc_id")
+    doubles = reps.join(doubles, (F.col("low") == F.col("l")) & (F.col("high") == F.col("h"))).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    named = connected_components(linked.unionByName(more).unionByName(doubles))
 
     by_set = (
         reps.join(named, F.col("rep") == F.col("node"), "left")
@@ -235,33 +243,38 @@ def near_duplicates(
     )
 
 
-def _links_in_blocks(rest: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between members of buckets (bucket, m, rep, n, pivot) that no pivot has shown: (a, b)."""
+def _links_in_blocks(rest: DataFrame, linked: DataFrame, sets: DataFrame, percent: int, spread: int = 64) -> DataFrame:
+    """Links between members of buckets (bucket, m, rep, n, pivot) that no pivot has shown: (a, b).
+
+    A group may hold any share of the rows: what is known of a group, or of a part of it, reaches its rows by
+    :func:`hub_join`, and the rows of a group meet its list of blocks in ``spread`` lots.
+    """
     named = connected_components(rest.select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
-    grouped = rest.join(named, F.col("rep") == F.col("node")).select("bucket", "m", "rep", "n", F.col("component").alias("grp"))
-    sizes = grouped.groupBy("grp").agg(F.max("m").alias("widest"), F.count("*").alias("rows"))
+    grouped = cut(rest.join(named, F.col("rep") == F.col("node")).select("bucket", "m", "rep", "n", F.col("component").alias("grp")))
     # Buckets that only hang together as a chain are worked on one by one; overlapping ones as one group.
-    people = grouped.select("grp", "rep", "n").distinct()
-    heads = people.groupBy(F.col("grp").alias("g")).agg(F.count("*").alias("heads"))
-    chained = sizes.join(heads, F.col("grp") == F.col("g")).where("heads > 8 * widest").select(F.col("grp").alias("g"))
-    by_group = people.join(chained, F.col("grp") == F.col("g"), "left_anti").select("grp", "rep", "n")
-    by_bucket = grouped.join(chained, F.col("grp") == F.col("g"), "left_semi").select(
-        F.xxhash64(F.lit("bucket"), "bucket").alias("grp"), "rep", "n"
+    groups = grouped.groupBy(F.col("grp").alias("g")).agg(
+        F.count("*").alias("size"), (F.count_distinct("rep") > 8 * F.max("m")).alias("chained")
     )
-    units = by_group.unionByName(by_bucket)
+    flagged = hub_join(grouped, groups, "grp", "g", "size", grouped.count())
+    of = F.when(F.col("chained"), F.xxhash64(F.lit("bucket"), "bucket")).otherwise(F.col("grp"))
+    units = flagged.select(of.alias("grp"), "rep", "n").distinct()
     kinds = linked.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("kind"))
-    units = cut(units.join(kinds, F.col("rep") == F.col("id"), "left").select("grp", "rep", "n", F.coalesce("kind", "rep").alias("kind")))
-    large = units.groupBy(F.col("grp").alias("g"), F.col("kind").alias("k")).count().where(f"count >= {BLOCK_ROWS}")
-    units = units.join(large, (F.col("grp") == F.col("g")) & (F.col("kind") == F.col("k")), "left").select(
-        "grp", "rep", "n", "kind", F.coalesce("k", F.lit(-1).cast("long")).alias("part")
-    )
+    units = units.join(kinds, F.col("rep") == F.col("id"), "left").select("grp", "rep", "n", F.coalesce("kind", "rep").alias("kind"))
+    units = cut(units.withColumn("own", F.struct("grp", "kind")))
+    total = units.count()
+    alike = units.groupBy(F.col("own").alias("o")).agg(F.count("*").alias("size"))
+    alike = alike.withColumn("part", F.when(F.col("size") >= BLOCK_ROWS, F.col("o.kind")).otherwise(F.lit(-1).cast("long")))
+    units = hub_join(units, alike, "own", "o", "size", total).drop("own").withColumn("lot", F.struct("grp", "part"))
     weight = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    deal = units.groupBy(F.col("grp").alias("g"), F.col("part").alias("p")).agg(weight.alias("blocks"))
-    units = units.join(deal, (F.col("grp") == F.col("g")) & (F.col("part") == F.col("p"))).select(
+    deal = units.groupBy(F.col("lot").alias("l")).agg(F.count("*").alias("size"), weight.alias("blocks"))
+    units = hub_join(units, deal, "lot", "l", "size", total).select(
         "grp", "rep", "kind", "part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block")
     )
-    others = deal.select("g", "p", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    paired = units.join(others, F.col("grp") == F.col("g")).where("part != p or part = -1")
+    others = deal.select(
+        F.col("l.grp").alias("g"), F.col("l.part").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
+    ).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    units = units.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit("lot")), F.lit(spread)).cast("int"))
+    paired = units.join(others, (F.col("grp") == F.col("g")) & (F.col("salt") == F.col("s"))).where("part != p or part = -1")
     here, there = F.struct(F.col("part").alias("x"), F.col("block").alias("y")), F.struct(F.col("p").alias("x"), F.col("o").alias("y"))
     paired = paired.select(
         F.xxhash64("grp", F.least(here, there), F.greatest(here, there)).alias("unit"),
