@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from kinoflow.llm import (
     token_store,
     url_filters,
 )
+from kinoflow.llm.common import passing, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,12 +87,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    from kinoflow.llm.common import shared_dir
-
+    """The store is removed when the driver's JVM ends: the query's result is what is read back from it."""
     path = f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
     token_store.write_store(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end=2)
+    passing(spark, path)
     return token_store.read_index(spark, path)
 
 

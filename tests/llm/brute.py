@@ -44,8 +44,7 @@ def near_duplicates(rows, size, percent=80):
             at[x].add(v[0])
     pairs = set()
     for v in at.values():
-        if len(v) < 400:
-            pairs.update(combinations(sorted(v), 2))
+        pairs.update(combinations(sorted(v), 2))
     for a, b in pairs:
         both = len(sets[a] & sets[b])
         if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
@@ -123,6 +122,73 @@ def pii(text):
     return (*counts, hashlib.sha256(spans.encode()).hexdigest()), spans
 
 
+def language_posteriors(rows, model, suffixes, trust=0.9, suffix_trust=0.6, strength=20.0, unknown=0.05):
+    """The fusion of (text, host, declared) rows, one by one: [(language, probability, text_language, any text)]."""
+    import math
+
+    langs = model.languages
+    n = len(langs)
+
+    def page(text):
+        return re.sub("<[^>]*>", " ", text) if re.search(r"<html\b", text, re.I) else text
+
+    def likelihood(text):
+        data = [b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in page(text or "").encode()]
+        data += [32] * (3 - len(data))
+        code = lambda a, b, c: (a * 0x1E35A7BD + b * 0x85EBCA6B + c * 0xC2B2AE35) % (1 << 32) >> 16
+        at = [code(*data[i : i + 3]) for i in range(len(data) - 2)] if text else []
+        at = [x for x in at if x != code(32, 32, 32)]
+        if not at:
+            return [0.0] * (n + 1)
+        mean = [sum(model.table[x][k] for x in at) / len(at) for k in range(n + 1)]
+        return [m * min(len(at) / 2, 128.0) for m in mean]
+
+    def normal(logs):
+        top = max(logs)
+        e = [math.exp(x - top) for x in logs]
+        return [x / sum(e) for x in e]
+
+    def says(tag, trust):
+        if tag not in langs:
+            return [0.0] * (n + 1)
+        miss = math.log((1 - trust) / (n - 1)) if n > 1 else 0.0
+        return [math.log(trust) if x == tag else miss for x in langs] + [miss]
+
+    def levels(host):
+        if host is None or "." not in host:
+            return None, None
+        return ".".join(host.split(".")[-2:]), host.split(".")[-1]
+
+    logs = [likelihood(t) for t, _, _ in rows]
+    posts = [normal(x)[:n] for x in logs]
+    hosts = [None if h is None else h.lower() for _, h, _ in rows]
+    add = lambda x, y: [a + b for a, b in zip(x, y, strict=True)]
+    zero, every = [0.0] * n, [1.0] * n
+    own, domain, suffix = defaultdict(lambda: zero), defaultdict(lambda: zero), defaultdict(lambda: zero)
+    for x, p, h in zip(logs, posts, hosts, strict=True):
+        if any(x):
+            every, own[h] = add(every, p), add(own[h], p)
+            domain[levels(h)[0]], suffix[levels(h)[1]] = add(domain[levels(h)[0]], p), add(suffix[levels(h)[1]], p)
+    every = [x / sum(every) for x in every]
+    smooth = lambda s, p: [(a + strength * b) / (sum(s) + strength) for a, b in zip(s, p, strict=True)]
+    out = []
+    for (text, _, declared), x, p, h in zip(rows, logs, posts, hosts, strict=True):
+        d, s = levels(h)
+        above = every if d is None else smooth(domain[d], smooth(suffix[s], every))
+        mine = [max(a - (b if any(x) else 0.0), 0.0) for a, b in zip(own[h], p, strict=True)]
+        prior = every if h is None else smooth(mine, above)
+        tag = declared.split("-")[0].lower() if declared is not None else None
+        if tag is None and (root := re.search(r"<html\b[^>]*", text or "", re.I)):
+            m = re.search(r"\blang\s*=\s*[\"']?([a-z]{2,3})", root.group(), re.I)
+            tag = m and m.group(1).lower()
+        parts = [x, [math.log(q * (1 - unknown)) for q in prior] + [math.log(unknown)], says(tag, trust), says(suffixes.get(s), suffix_trust)]
+        final = normal([sum(v) for v in zip(*parts, strict=True)])[:n]
+        best = max(range(n), key=lambda k: (final[k], -k))
+        k = max(range(n + 1), key=lambda k: (x[k], -k))
+        out.append((langs[best], final[best], langs[k] if any(x) and k < n else None, any(x)))
+    return out
+
+
 def crc(ids):
     import numpy as np
 

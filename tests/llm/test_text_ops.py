@@ -73,6 +73,23 @@ def test_near_dedup_nulls_and_repeats(spark):
     assert near_dedup.near_duplicates(docs(spark, []).limit(0), 2).count() == 0
 
 
+def test_near_dedup_rows_of_one_id(spark):
+    """An id with two sets joins what both are linked with."""
+    one, two, far = "a b c d e f g h", "p q r s t u v w", "k l m n o i j y"
+    rows = [(7, one), (7, two), (3, two), (9, one + " z z"), (5, far), (9, one)]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs(spark, rows), 2).collect())
+    assert got == [(3, 3, True), (5, 5, True), (7, 3, False), (7, 3, False), (9, 3, False), (9, 3, False)]
+
+
+def test_near_dedup_hot_groups(spark):
+    """A bucket and a group that hold most rows go the way of hubs and blocks."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, edited(rng, base, rng.uniform(0, 0.08))) for i in range(900)]
+    rows += [(1000 + i, " ".join(f"x{i}y{j}" for j in range(30))) for i in range(300)]
+    assert as_dict(near_dedup.near_duplicates(docs(spark, rows), 2)) == brute.near_duplicates(rows, 2)
+
+
 def test_block_linker_equals_pairs():
     import pyarrow as pa
 
@@ -126,6 +143,33 @@ def test_line_dedup_nulls_and_repeats(spark):
     assert line_dedup.dedup_lines(docs(spark, []).limit(0)).count() == 0
 
 
+CLASH = ["_keys", "_drop", "_mark", "_lost", "_id", "_of", "keys", "drop", "mark", "id", "of", "lost", "KEYS_"]
+
+
+@pytest.mark.parametrize("room", [1 << 26, 0])
+def test_line_dedup_keeps_columns(spark, room):
+    """Columns with the names that the operator uses inside come back as they were, on both paths."""
+    frame = docs(spark, ODD, **{c: c for c in CLASH})
+    out = line_dedup.dedup_lines(frame, min_docs=3, broadcast_bytes=room, shard_keys=2)
+    assert out.columns == [*frame.columns, "n_lines", "n_dropped"]
+    rows = out.collect()
+    assert len(rows) == len(ODD) and all(r[c] == c for r in rows for c in CLASH)
+
+
+def test_line_counts_decide_at_the_probe(spark):
+    """One index, built without a threshold; the counts in it say which lines go."""
+    rows = [(i, f"{LONG}{k}") for k in range(2, 9) for i in range(k)]
+    shards, n, _ = line_dedup.build_shards(docs(spark, rows), 40, shard_keys=2)
+    held = {r["shard"]: Shard.from_bytes(bytes(r["data"])) for r in shards.collect()}
+    assert n > 1 and sorted(c for s in held.values() for c in s.counts.tolist()) == list(range(2, 9))
+    probe = docs(spark, [(99, "\n".join(f"{LONG}{k}" for k in range(1, 10)))])
+    keys = probe.select(line_dedup.line_hashes(probe["text"], 40).alias("k")).first()["k"]
+    h, p = (np.array([x[i] for x in keys]) for i in (0, 1))
+    for least in (2, 5, 8, 9):
+        gone = line_dedup.drops(held, n, h, p, np.full(9, 99), least)
+        assert np.flatnonzero(gone).tolist() == [k - 1 for k in range(least, 9)]
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 1 << 63, 50_000).astype(np.uint64))
@@ -210,6 +254,10 @@ def test_components(spark):
     want = brute.components({x for p in links for x in p}, links)
     assert got == {k: v for k, v in want.items() if any(k in p and p[0] != p[1] for p in links)}
     assert components.connected_components(frame.limit(0)).count() == 0
+    hub = [(0, i) for i in range(1, 500)] + [(i, 1000 + i) for i in range(0, 500, 3)] + [(2000, 2000 + i) for i in range(300)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(hub, "a long, b long")).collect()}
+    want = brute.components({x for p in hub for x in p}, hub)
+    assert got == want
 
 
 def test_shingle_hashes():
