@@ -66,12 +66,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hub_join(left: DataFrame, right: DataFrame, key: str, of: str, n: str, rows: int) -> DataFrame:
-    """``left`` with the other columns of ``right``'s row for its ``key``; rows without one go. No name may clash.
+def hub_join(left: DataFrame, right: DataFrame, key: str, of: str, n: str, rows: int, outer: bool = False) -> DataFrame:
+    """``left`` with the other columns of ``right``'s row for its ``key``; rows without one, or of a null key, go, or with
+    ``outer`` stay with nulls. No name may clash.
 
     ``right`` has one row a key ``of``, and in ``n`` how many of ``left``'s ``rows`` rows have that key. Keys that hold
-    more than a thousandth of them (and more than 64) are at most 1000: they are broadcast, and their rows are dealt out
-    by a hash of the whole row. All others are joined by key. So no task gets all rows of a hot key.
+    more than a thousandth of them (and more than 64) are at most 1000: they are broadcast, and their rows, like those
+    of a null key, are dealt out by a hash of the whole row. All others are joined by key. So no task gets all rows of a hot key.
     """
     limit = max(64, rows // 1000)
     others = [c for c in right.columns if c not in (of, n)]
@@ -79,10 +80,10 @@ def hub_join(left: DataFrame, right: DataFrame, key: str, of: str, n: str, rows:
     hubs = right.where(F.col(n) > limit).select(F.col(of).alias(hub), F.struct(*others).alias(hub_row))
     rest = right.where(F.col(n) <= limit).select(of, F.struct(*others).alias(row), F.lit(0).alias(none))
     some = left.join(F.broadcast(hubs), F.col(key) == F.col(hub), "left")
-    dealt = F.when(F.col(hub).isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(4096)).cast("int") + 1).otherwise(0)
+    dealt = F.when(F.col(hub).isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(*left.columns), F.lit(4096)).cast("int") + 1).otherwise(0)
     both = some.withColumn(salt, dealt).join(rest, (F.col(key) == F.col(of)) & (F.col(salt) == F.col(none)), "left")
     found = F.coalesce(hub_row, row)
-    return both.where(found.isNotNull()).select(*left.columns, *[found[c].alias(c) for c in others])
+    return (both if outer else both.where(found.isNotNull())).select(*left.columns, *[found[c].alias(c) for c in others])
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

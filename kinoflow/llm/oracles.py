@@ -25,8 +25,7 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN found ON d.doc_id = found.doc_id
 """
 
-#: The pages of the test tables declare no links, so aliases are addresses that differ in form alone.
-URLS = rf"""
+_RULED = rf"""
 WITH u AS (
   SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
   FROM pages),
@@ -44,9 +43,28 @@ r AS (
       WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
   FROM h),
 v AS (SELECT *, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS own FROM r)
-SELECT page_id, host, path, rule, coalesce(own, min(own) OVER (PARTITION BY address), 'allow') AS verdict FROM v
 """
 
+#: The pages of the test tables declare no links, so aliases are addresses that differ in form alone.
+URLS = (
+    _RULED + "SELECT page_id, host, path, rule, coalesce(own, min(own) OVER (PARTITION BY address), 'allow') AS verdict FROM v"
+)
+
+#: With a redirect from every page to the first address of its path: components by paths and addresses.
+URLS_BY_PATH = (
+    _RULED.replace("WITH u AS", "WITH RECURSIVE u AS")
+    + """,
+n AS (SELECT DISTINCT url, address, path FROM v JOIN u USING (page_id)),
+t AS (SELECT n.address AS a, m.address AS b FROM n JOIN (SELECT path, min(url) AS url FROM n WHERE path <> '' GROUP BY path) f
+  USING (path) JOIN n m ON m.url = f.url),
+e AS (SELECT a, b FROM t UNION SELECT b, a FROM t),
+reach AS (SELECT address AS node, address AS seen FROM n UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.seen = e.a),
+c AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT page_id, host, path, rule, coalesce(own, min(own) OVER (PARTITION BY component), 'allow') AS verdict
+FROM v JOIN c ON v.address = c.node
+"""
+)
+
 LINES = rf"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),

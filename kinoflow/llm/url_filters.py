@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinoflow.llm.common import UPPER, cut
+from kinoflow.llm.common import UPPER, hub_join, kept
 from kinoflow.llm.components import connected_components
 
 RULES = [
@@ -46,7 +46,7 @@ def first_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
 
 
 def address(url: str) -> Column:
-    """One form for the addresses that servers redirect to one another: no scheme, default port, fragment, tracking
+    """The plain form to which servers redirect an address: no scheme, default port, fragment, tracking
     parameters or closing slash. ``url`` names a column."""
     c = F.regexp_replace(F.col(url), r"#.*$", "")
     c = F.regexp_replace(c, rf"(?<=[?&])(?:{TRACKING})(?:=[^&]*)?(?:&|$)", "")
@@ -111,43 +111,41 @@ def filter_urls(
 ) -> DataFrame:
     """A verdict for every row: (page_id, host, path, rule, verdict, component).
 
-    A page that a rule fits gets that rule's verdict. Any other page takes over the decision of its aliases: pages
-    whose addresses are equal up to scheme, fragment, tracking parameters and closing slash, or that canonical links
-    and redirects connect (from the pages' HTML, and ``redirects``: url, target). If any alias is explicitly allowed it
-    is allowed; else if any is blocked it is blocked; pages without a decided alias are allowed.
+    A page that a rule fits gets that rule's verdict. Any other page takes over the decision of its aliases, the pages
+    of its connected component. Edges are redirects: from every address to its plain form, as servers redirect to it
+    (without scheme, default port, fragment, tracking parameters and closing slash), from a page to its canonical and
+    refresh targets (read from its HTML), and ``redirects``: url, target. If any alias is explicitly allowed the page is
+    allowed; else if any is blocked it is blocked; pages without a decided alias are allowed.
 
     Null urls, and those without ``://``: host and path are empty, and without a rule the verdict is allow; a null url
-    has no aliases. Repeated rows each get the verdict. Empty table: no rows. Rules are a short list by contract; they
-    become one expression. Components come from distributed star contraction; the decisions by component are few
-    rows, pre-aggregated, and joined only to pages without a rule.
+    has no aliases and no component. Repeated rows each get the verdict. Empty table: no rows. Other columns don't
+    matter. Rules are a short list by contract; they become one expression. Components come from distributed star
+    contraction; the decisions by component are pre-aggregated before their shuffle and joined only to pages without a
+    rule, dealt by :func:`hub_join` where one component holds many of them.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     host, path = host_and_path(F.col("url"))
     rule, verdict = first_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"host": host, "path": path, "address": address("url")})
+    rows = rows.withColumns({"host": host, "path": path})
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
 
-    links = []
-    if html_col:
-        links.append(page_links(pages, url_col, html_col))
-    if redirects is not None:
-        links.append(redirects.select("url", "target"))
-    component = F.col("address")
-    if links:
-        edges = links[0] if len(links) == 1 else links[0].unionByName(links[1])
-        edges = edges.withColumns({"a": address("url"), "b": address("target")}).select("a", "b")
-        named = connected_components(cut(edges.distinct()))
-        rows = rows.join(named, F.col("address") == F.col("node"), "left")
-        component = F.coalesce("component", "address")
-    rows = rows.withColumn("component", component)
+    edges = rows.where("url is not null").select(F.col("url").alias("a"), address("url").alias("b"))
+    links = [page_links(pages, url_col, html_col)] if html_col else []
+    links += [redirects.select("url", "target")] if redirects is not None else []
+    for link in links:
+        edges = edges.unionByName(link.select(address("url").alias("a"), address("target").alias("b")))
+    named = connected_components(edges.distinct())
+    per = rows.where("url is not null").groupBy(F.col("url").alias("of")).agg(F.count("*").alias("n"))
+    named = per.join(named, F.col("of") == F.col("node")).select("of", "n", "component")
+    rows = kept(hub_join(rows, named, "url", "of", "n", rows.count(), outer=True).drop("url"), "pages-named")
     decided = (
-        rows.where("ruled is not null")
+        rows.where("component is not null")
         .groupBy(F.col("component").alias("group"))
-        .agg(F.min("ruled").alias("taken"))  # allow sorts before block
+        .agg(F.min("ruled").alias("taken"), F.count_if(F.col("ruled").isNull()).alias("free"))  # allow sorts before block
+        .where("taken is not null and free > 0")
     )
-    free = rows.where("ruled is null").join(decided, F.col("component") == F.col("group"), "left")
-    free = free.withColumn("verdict", F.coalesce("taken", F.lit("allow")))
     out = ["page_id", "host", "path", "rule", "verdict", "component"]
-    return (
-        rows.where("ruled is not null").withColumn("verdict", F.col("ruled")).select(out).unionByName(free.select(out))
-    )
+    ruled, free = rows.where("ruled is not null"), rows.where("ruled is null")
+    judged = hub_join(free, decided, "component", "group", "free", free.count(), outer=True)
+    judged = judged.withColumn("verdict", F.coalesce("taken", F.lit("allow")))
+    return ruled.withColumn("verdict", F.col("ruled")).select(out).unionByName(judged.select(out))
