@@ -41,16 +41,47 @@ def mod97(code: Column) -> Column:
     return left == 1
 
 
+def routing(number: Column) -> Column:
+    """Whether nine digits pass the check of bank routing numbers (weights 3, 7, 1)."""
+    each = F.transform(F.split(digits(number), ""), lambda d: F.coalesce(d.try_cast("int"), F.lit(0)))
+    weighted = F.transform(each, lambda d, i: d * F.when(i % 3 == 0, 3).when(i % 3 == 1, 7).otherwise(1))
+    return F.aggregate(weighted, F.lit(0), lambda a, d: a + d) % 10 == 0
+
+
+def dni(code: Column) -> Column:
+    """Whether the letter of a Spanish identity number is that of its digits modulo 23."""
+    letter = F.substr(F.lit("TRWAGMYFPDXBNJZSQVHLCKE"), (digits(code).try_cast("int") % 23) + 1, F.lit(1))
+    return F.upper(F.substr(code, F.length(code), F.lit(1))) == letter
+
+
+def nir(code: Column) -> Column:
+    """Whether the two key digits of a French insurance number are 97 less the rest modulo 97."""
+    number = digits(code)
+    return 97 - F.substr(number, F.lit(1), F.lit(13)).try_cast("long") % 97 == F.substr(number, F.lit(14)).try_cast("long")
+
+
+def mixed(token: Column) -> Column:
+    """Whether a token has at least ten different characters, digits and letters among them."""
+    signs = F.size(F.array_distinct(F.split(token, "")))
+    return F.regexp_like(token, F.lit("[0-9]")) & F.regexp_like(token, F.lit("[A-Za-z]")) & (signs >= 10)
+
+
 @dataclass(frozen=True)
 class Kind:
-    """``pattern`` must match what its base pattern matches; possessive parts and look-behinds only keep it linear."""
+    """``pattern`` must match what its base pattern matches; possessive parts and look-behinds only keep it linear.
+
+    A span's score is ``score``, plus ``up`` if one of the words ``raises`` is near, less ``down`` if one of ``lowers`` is.
+    """
 
     name: str
     pattern: str
     needs: str  # a character without which nothing can match, or "" for none
     valid: object
     score: float
-    context: str
+    raises: str
+    lowers: str
+    up: float = 0.1
+    down: float = 0.2
     base: bool = True
 
 
@@ -61,6 +92,24 @@ def _always(match: Column) -> Column:
 _LOCAL = "[A-Za-z0-9._%+-]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
+#: The length of an account number by country.
+IBAN_LENGTHS = """
+AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27
+GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27
+MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23
+TN24 TR26 UA29 VA22 VG24 XK20
+""".split()
+
+
+def _iban_pattern() -> str:
+    """Exactly as many letters and digits as the country has, so a word that follows after a blank stays outside."""
+    by_length: dict[int, list[str]] = {}
+    for x in IBAN_LENGTHS:
+        by_length.setdefault(int(x[2:]), []).append(x[:2])
+    parts = [rf"(?:{'|'.join(names)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, names in sorted(by_length.items())]
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(parts)})(?![A-Za-z0-9])"
+
+
 #: In the order in which spans of one start are listed.
 KINDS = [
     Kind(
@@ -70,6 +119,7 @@ KINDS = [
         _always,
         0.9,
         "mail|contact|write|schreib|correo|courriel",
+        "noreply|no-reply",
     ),
     Kind(
         "ip",
@@ -78,6 +128,7 @@ KINDS = [
         lambda m: F.regexp_like(m, F.lit(rf"^{_PART}(?:\.{_PART}){{3}}$")),
         0.6,
         r"\bip\b|server|host|address|login|adresse|direcci",
+        "version|release|section|kapitel|chapitre",
     ),
     Kind(
         "card",
@@ -86,6 +137,7 @@ KINDS = [
         lambda m: F.length(digits(m)).between(14, 19) & luhn(digits(m)),
         0.7,
         "card|visa|credit|payment|karte|carte|tarjeta|pago",
+        "isbn|serial|order|tracking|imei",
     ),
     Kind(
         "phone",
@@ -94,14 +146,62 @@ KINDS = [
         lambda m: F.length(digits(m)).between(10, 15),
         0.6,
         "phone|call|tel|mobile|fax|anruf|appel|llam",
+        "score|degrees|total",
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        _iban_pattern(),
         "",
         lambda m: mod97(F.regexp_replace(m, " ", "")),
-        0.8,
+        0.6,
         "iban|account|bank|konto|compte|cuenta",
+        "serial|part|order|sku|model|invoice",
+        up=0.3,
+        base=False,
+    ),
+    Kind(
+        "secret",
+        r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+-]{20,}+={0,2}",
+        "",
+        mixed,
+        0.4,
+        "key|secret|token|passw|credential|auth|bearer|schl.ssel|kennwort|contrase|mot de passe",
+        r"sha-?[0-9]|md5|commit|checksum|digest|uuid|etag|https?:",
+        up=0.3,
+        down=0.3,
+        base=False,
+    ),
+    Kind(
+        "routing",
+        r"(?<![0-9A-Za-z.-])[0-9]{9}(?![0-9A-Za-z]|[.-][0-9])",
+        "",
+        routing,
+        0.3,
+        r"routing|\baba\b|\brtn\b",
+        "phone|order|serial",
+        up=0.4,
+        base=False,
+    ),
+    Kind(
+        "dni",
+        r"(?<![0-9A-Za-z])[0-9]{8}-?[A-Za-z](?![0-9A-Za-z])",
+        "",
+        dni,
+        0.4,
+        r"\bdni\b|\bnif\b|identidad|documento",
+        "serial|order|ref",
+        up=0.4,
+        base=False,
+    ),
+    Kind(
+        "nir",
+        r"(?<![0-9A-Za-z])[12](?:\x20?[0-9]){14}(?!\x20?[0-9]|[A-Za-z])",
+        "",
+        nir,
+        0.4,
+        r"s.curit. sociale|\bnir\b|insee|assur|immatricul",
+        "serial|order|ref",
+        up=0.4,
         base=False,
     ),
 ]
@@ -146,7 +246,11 @@ def spans_of(kind: Kind, rank: int, text: Column, window: int) -> Column:
             F.lit("\n"),
             F.substr(text, end.cast("int") + 1, F.lit(window)),
         )
-        score = kind.score + F.when(F.regexp_like(near, F.lit(f"(?i)(?:{kind.context})")), 0.1).otherwise(0.0)
+
+        def said(near: Column, words: str, weight: float) -> Column:
+            return F.when(F.regexp_like(near, F.lit(f"(?i)(?:{words})")), weight).otherwise(0.0)
+
+        score = let(near, lambda c: F.round(kind.score + said(c, kind.raises, kind.up) - said(c, kind.lowers, kind.down), 3))
         return F.when(
             match.isNotNull() & kind.valid(match),
             F.struct(
@@ -179,9 +283,11 @@ def find_pii(docs: DataFrame, text_col: str = "text", window: int = 32, min_scor
     """Adds ``pii``: all spans found in the text, by start, then kind as KINDS lists them.
 
     A span has kind, start, end (code points, end exclusive), score, and base (whether it is of a kind whose spans are
-    fixed by contract; those stay whatever their score). A kind's score rises by 0.1 if one of its context words is
-    within ``window`` characters; other kinds' spans under ``min_score`` go. Matches of a kind don't overlap and are
-    leftmost; one that fails its check is dropped, and its characters aren't tried again.
+    fixed by contract; those stay whatever their score). A kind's score rises if one of the words that speak for it is
+    within ``window`` characters, and falls if one that speaks against it is; other kinds' spans under ``min_score`` go:
+    a token of digits and letters is a secret only beside a word such as key, a valid account number none beside a word
+    such as serial. Matches of a kind don't overlap and are leftmost; one that fails its check is dropped, and its
+    characters aren't tried again. Spans of different kinds may overlap.
 
     Null text: as empty, no spans. All other columns stay as they are; a column named ``pii`` is replaced. Every row is
     worked on alone, by built-in expressions in one pass without a shuffle; patterns are linear, so a text's length is
@@ -200,7 +306,8 @@ def spans_text(spans: Column) -> Column:
 
 
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans, after :func:`find_pii`."""
+    """Per row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans, after :func:`find_pii`; beside them
+    n_other, the spans of all other kinds, and scores, in the order of spans."""
     found = find_pii(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     pii = F.col("pii")
     base = F.filter(pii, lambda s: s["base"])
@@ -210,5 +317,10 @@ def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     counts = [count(k.name) for k in KINDS if k.base]
     return found.select(
-        "doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(pii).alias("spans")
+        "doc_id",
+        *counts,
+        F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(pii).alias("spans"),
+        F.size(F.filter(pii, lambda s: ~s["base"])).cast("long").alias("n_other"),
+        F.array_join(F.transform(pii, lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
