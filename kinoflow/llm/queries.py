@@ -21,7 +21,7 @@ from kinoflow.llm import (
     token_store,
     url_filters,
 )
-from kinoflow.llm.common import passing, shared_dir
+from kinoflow.llm.common import hub_join, passing, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,6 +99,16 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_aliases_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with redirects: each to the first address of its path, whatever the host."""
+    pages = table(spark, sf_dir, "pages")
+    paths = pages.select("url", url_filters.host_and_path(F.col("url"))[1].alias("path")).where("path != ''")
+    first = paths.groupBy(F.col("path").alias("of")).agg(F.min("url").alias("target"), F.count("*").alias("n"))
+    links = hub_join(paths, first, "path", "of", "n", paths.count()).select("url", "target")
+    found = url_filters.filter_urls(pages, redirects=links)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -116,7 +126,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_permutation_index, op2_language_id, op2_pages_language_id, op3_decontamination, op4_bounded_ring_sharding, op5_sentencepiece,
-        op6_content_store, op7_url_filter, op8_pii, op9_minhash_near_dedup, op10_line_dedup,
+        op6_content_store, op7_url_filter, op7_aliases_by_path, op8_pii, op9_minhash_near_dedup, op10_line_dedup,
     ]
     return {f.__name__: f for f in found}
 
@@ -126,6 +136,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontamination": oracles.CONTAMINATION,
         "op7_url_filter": oracles.URLS,
+        "op7_aliases_by_path": oracles.URLS_BY_PATH,
         "op9_minhash_near_dedup": oracles.NEAR,
         "op10_line_dedup": oracles.LINES,
     }

@@ -246,6 +246,24 @@ def test_pii_context_and_checks(spark):
     assert [(s["kind"], round(s["score"], 2)) for s in spans] == [("iban", 0.9), ("phone", 0.7)]
 
 
+def test_pii_context_alone_decides(spark):
+    """The same span with and without words nearby: they alone add and take away spans, and change scores."""
+    iban, key, aba = "DE89370400440532013000", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "021000021"
+    texts = {
+        1: iban, 2: f"serial {iban}", 3: f"my iban is {iban}, serial", 4: f"{iban} AND 2024", 5: key, 6: f'api_key = "{key}"',
+        7: f"commit {key}", 8: f"sha256 key {key}", 9: aba, 10: f"routing number {aba}", 11: "routing number 021000022",
+        12: "DNI 12345678Z", 13: "DNI 12345678A", 14: "12345678Z", 15: "assuré 1 85 05 78 006 084 91", 16: "assuré 185057800608492",
+        17: "BE68 5390 0754 7034 AND more", 18: "10.0.0.1", 19: "server 10.0.0.1", 20: "version 10.0.0.1", 21: "token " + "a" * 40,
+    }
+    found = {r["doc_id"]: [(s["kind"], s["score"]) for s in r["pii"]] for r in pii.find_pii(docs(spark, list(texts.items()))).collect()}
+    want = {
+        1: [("iban", 0.6)], 2: [], 3: [("iban", 0.7)], 4: [("iban", 0.6)], 5: [], 6: [("secret", 0.7)], 7: [], 8: [], 9: [],
+        10: [("routing", 0.7)], 11: [], 12: [("dni", 0.8)], 13: [], 14: [], 15: [("nir", 0.8)], 16: [], 17: [("iban", 0.6)],
+        18: [("ip", 0.6)], 19: [("ip", 0.7)], 20: [("ip", 0.4)], 21: [],
+    }
+    assert {k: [x for x in v if x[0] not in ("card", "phone")] for k, v in found.items()} == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     links = [tuple(map(int, rng.integers(0, 300, 2))) for _ in range(220)] + [(i, i + 1) for i in range(400, 500)]

@@ -125,6 +125,40 @@ def test_url_filter_aliases(spark):
     assert url_filters.filter_urls(frame.limit(0)).count() == 0
 
 
+def test_url_filter_equals_components(spark):
+    """Random redirects between addresses in several forms, some repeated often, against components in plain Python."""
+    rng = np.random.default_rng(6)
+    hosts = ["a.com", "www.example.com", "b.net", "x.example.net", "c.org", "d.fr", "e.fr"]
+    base = [f"{h}/{p}" for h in hosts for p in ("en/7", "en/1", "de/8", "de/2", "es/3", "q", "r", "s")]
+    forms = ["http://{}", "https://{}/", "https://{}?utm_source=x", "http://{}#top", "HTTP://{}?ref=y&fbclid=1"]
+    rows = [(i, forms[rng.integers(5)].format(base[rng.integers(len(base))])) for i in range(200)] + [(300 + i, "http://e.fr/q") for i in range(200)]
+    links = [tuple(forms[rng.integers(5)].format(base[k]) for k in rng.integers(0, len(base), 2)) for _ in range(25)]
+    plain = {f.format(b): b for f in forms for b in base}
+    named = brute.components(base, [(plain[a], plain[b]) for a, b in links])
+    own = {i: judge(*parse(u)) for i, u in rows}
+    taken = {}
+    for i, u in rows:
+        if own[i]:
+            taken[named[plain[u]]] = min(own[i][1], taken.get(named[plain[u]], "block"))
+    want = {i: own[i][1] if own[i] else taken.get(named[plain[u]], "allow") for i, u in rows}
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    extra = spark.createDataFrame(links, "url string, target string")
+    got = {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(frame, redirects=extra, html_col=None).collect()}
+    assert got == want and len({(bool(own[i]), v) for i, v in want.items()}) == 4
+
+
+def test_url_filter_by_path_equals_sql(spark, sf):
+    import duckdb
+
+    from kinoflow.llm import oracles
+
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+        want = db.sql(oracles.URLS_BY_PATH).fetchall()
+    got = queries.op7_aliases_by_path(spark, sf).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_page_links_takes_all_tags(spark):
     link = '<link rel="canonical" href="{}">'.format
     hop = '<meta http-equiv="refresh" content="0; url={}">'.format
