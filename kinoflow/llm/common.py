@@ -72,16 +72,20 @@ def hub_join(left: DataFrame, right: DataFrame, key: str, of: str, n: str, rows:
 
     ``right`` has one row a key ``of``, and in ``n`` how many of ``left``'s ``rows`` rows have that key. Keys that hold
     more than a thousandth of them (and more than 64) are at most 1000: they are broadcast, and their rows, like those
-    of a null key, are dealt out by a hash of the whole row. All others are joined by key. So no task gets all rows of a hot key.
+    of a null key, are dealt out by a hash of the whole row. All others are joined by key, by sorting: adaptive execution
+    would go by the compressed size of that side and broadcast one that is many times as large in memory. So no task gets
+    all rows of a hot key.
     """
     limit = max(64, rows // 1000)
     others = [c for c in right.columns if c not in (of, n)]
     hub, hub_row, salt, row, none = spare([*left.columns, *right.columns], "hub", "hub_row", "salt", "row", "none")
     hubs = right.where(F.col(n) > limit).select(F.col(of).alias(hub), F.struct(*others).alias(hub_row))
-    rest = right.where(F.col(n) <= limit).select(of, F.struct(*others).alias(row), F.lit(0).alias(none))
+    # Zero, but not to the optimizer: it would take a literal out of the join's keys, and the salt with it.
+    zero = F.pmod(F.col(n), F.lit(1)).cast("int")
+    rest = right.where(F.col(n) <= limit).select(of, F.struct(*others).alias(row), zero.alias(none))
     some = left.join(F.broadcast(hubs), F.col(key) == F.col(hub), "left")
     dealt = F.when(F.col(hub).isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(*left.columns), F.lit(4096)).cast("int") + 1).otherwise(0)
-    both = some.withColumn(salt, dealt).join(rest, (F.col(key) == F.col(of)) & (F.col(salt) == F.col(none)), "left")
+    both = some.withColumn(salt, dealt).join(rest.hint("merge"), (F.col(key) == F.col(of)) & (F.col(salt) == F.col(none)), "left")
     found = F.coalesce(hub_row, row)
     return (both if outer else both.where(found.isNotNull())).select(*left.columns, *[found[c].alias(c) for c in others])
 

@@ -274,7 +274,7 @@ def _links_in_blocks(rest: DataFrame, linked: DataFrame, sets: DataFrame, percen
         F.col("l.grp").alias("g"), F.col("l.part").alias("p"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
     ).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     units = units.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit("lot")), F.lit(spread)).cast("int"))
-    paired = units.join(others, (F.col("grp") == F.col("g")) & (F.col("salt") == F.col("s"))).where("part != p or part = -1")
+    paired = units.join(others.hint("merge"), (F.col("grp") == F.col("g")) & (F.col("salt") == F.col("s"))).where("part != p or part = -1")
     here, there = F.struct(F.col("part").alias("x"), F.col("block").alias("y")), F.struct(F.col("p").alias("x"), F.col("o").alias("y"))
     paired = paired.select(
         F.xxhash64("grp", F.least(here, there), F.greatest(here, there)).alias("unit"),
