@@ -57,8 +57,9 @@ class Encoder:
     """Splits words into the pieces with the largest sum of scores; a character that no piece covers becomes bytes.
 
     Words of equal length are columns of one matrix and advance together. A substring's hash is the difference of two
-    prefix hashes; it is looked up among the sorted hashes of all pieces, and what is found is compared character by
-    character before it counts. Of equal sums the longer last piece wins.
+    prefix hashes; it is looked up among the sorted hashes of all pieces. The pieces of the best split are compared
+    character by character; where one isn't spelled so, the word is split again with every candidate compared. Of equal
+    sums the longer last piece wins.
     """
 
     def __init__(self, vocabulary: Pieces):
@@ -78,6 +79,8 @@ class Encoder:
         self.sizes = np.array([len(w) for w in vocabulary.words], np.int64)[self.order]
         self.firsts = np.cumsum(self.sizes) - self.sizes
         self.spelt = np.frombuffer("".join(vocabulary.words[i] for i in self.order).encode("utf-32-le"), "<u4")
+        self.place = np.zeros(int(vocabulary.ids.max()) + 1, np.int64)  # of each id among the sorted pieces
+        self.place[self.sorted_ids] = np.arange(len(self.order))
         self.maybe = np.zeros(1 << 20, bool)  # whether any key begins with these 20 bits
         self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.unknown = float(vocabulary.scores.min()) - 10.0
@@ -106,8 +109,20 @@ class Encoder:
         there = np.minimum(self.firsts[at] + np.arange(size)[:, None], len(self.spelt) - 1)
         return same & (self.spelt[there] == codes).all(axis=0)
 
-    def _best(self, words: list[str]) -> list[bytes]:
-        """Ids, as little-endian 32-bit integers, of words of one length."""
+    def _spelled(self, codes: np.ndarray, steps: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which words (columns of ``codes``) their steps spell: ids in order, -1 for bytes, -2 for none, and their ends."""
+        sizes = np.diff(ends, axis=1, prepend=0)[steps != -2]
+        ids = steps[steps != -2]
+        at = self.place[np.maximum(ids, 0)]
+        lasts = np.cumsum(sizes)
+        there = self.firsts[at] - (lasts - sizes)
+        flat = np.minimum(np.arange(codes.size) + np.repeat(there, sizes), len(self.spelt) - 1)
+        same = (self.spelt[flat] == codes.T.reshape(-1)) & np.repeat(self.sizes[at] == sizes, sizes)
+        same |= np.repeat(ids == -1, sizes)
+        return same.reshape(codes.shape[1], -1).all(axis=1)
+
+    def _best(self, words: list[str], compare: bool = False) -> list[bytes]:
+        """Ids, as little-endian 32-bit integers, of words of one length. ``compare``: each candidate by its spelling."""
         n = len(words[0])
         codes = _codes(words, n)
         hashes = self._prefixes(codes)
@@ -123,7 +138,7 @@ class Encoder:
                 known = self.keys[at] == key[near]
                 near, at = near[known], at[known]
                 if size == 1:  # bytes, where no piece covers the character
-                    same = self._same(at, codes[end - 1 : end, near])
+                    same = self._same(at, codes[end - 1 : end, near]) if compare else slice(None)
                     near, at = near[same], at[same]
                     total = best[end - 1] + self.unknown
                     total[near] = best[end - 1, near] + self.sorted_scores[at]
@@ -134,7 +149,8 @@ class Encoder:
                 elif len(near):
                     total = best[end - size, near] + self.sorted_scores[at]
                     better = np.flatnonzero(total > best[end, near])
-                    better = better[self._same(at[better], codes[end - size : end, near[better]])]
+                    if compare:
+                        better = better[self._same(at[better], codes[end - size : end, near[better]])]
                     near, at = near[better], at[better]
                     best[end, near], back[end, near], piece[end, near] = total[better], size, self.sorted_ids[at]
         at, rows = np.full(len(words), n), np.arange(len(words))
@@ -148,11 +164,15 @@ class Encoder:
         used = trail != -2
         data, lasts = trail[used].astype("<i4").tobytes(), (4 * np.cumsum(used.sum(axis=1))).tolist()
         out = [data[i:j] for i, j in zip([0, *lasts[:-1]], lasts, strict=True)]
+        wrong = [] if compare else np.flatnonzero(~self._spelled(codes, trail, ends)).tolist()
         for i in np.flatnonzero((trail == -1).any(axis=1)).tolist():
             word, parts = words[i], []
             for k, e in zip(trail[i].tolist(), ends[i].tolist(), strict=True):
                 parts += [k] if k >= 0 else [] if k == -2 else self.v.byte_ids[list(word[e - 1].encode())].tolist()
             out[i] = np.array(parts, "<i4").tobytes()
+        if wrong:
+            for i, ids in zip(wrong, self._best([words[i] for i in wrong], compare=True), strict=True):
+                out[i] = ids
         return out
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
