@@ -10,8 +10,8 @@ from kinoflow.llm.common import ascii_lower, let
 #: What stands between words, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GRAM = 5
-#: More anchors than this are joined by a shuffle instead of a broadcast (32 words of 13 letters each: under 400 MB).
-BROADCAST_ROWS = 200_000
+#: Windows and item ids of more bytes than this are joined by a shuffle instead of a broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -63,7 +63,7 @@ def find_contamination(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, item_ids and contaminated.
 
@@ -72,8 +72,8 @@ def find_contamination(
     window if it has the window's rarest shingle, so this one token is its prefix, and only it is joined. The place
     of the shingle fixes where the window must start; starts outside the document fail the bounds, and what is left is
     compared word by word with a slice of the document. Both passes over the documents are scans with a broadcast hash
-    join: texts are never shuffled, only hits are. Where the items have more than ``broadcast_rows`` shingles, the same
-    joins run by a shuffle of (document, place, slice) instead.
+    join: texts are never shuffled, only hits are. Where the items' shingles, with the words and
+    item ids of their windows, take more than ``broadcast_bytes``, the same joins run by a shuffle of (document, place, slice) instead.
 
     contaminated: n_hit > 0 and 20 * n_hit >= n_words, n_hit counting the words inside any occurrence. Null texts have
     no words. Rows of one id and one text share their result, each row is returned; rows of one id with different
@@ -94,7 +94,9 @@ def find_contamination(
     for g in sizes:
         of_size = F.least(F.col("size"), F.lit(GRAM)) == g
         grams = _window_grams(windows.where(of_size), g)
-        few = grams.count() <= broadcast_rows
+        letters = F.octet_length(F.array_join("win", "")) + F.octet_length(F.array_join("item_ids", ""))
+        room = letters + 24 * (F.size("win") + F.size("item_ids")) + 64
+        few = (grams.agg(F.sum(room.cast("long"))).first()[0] or 0) <= broadcast_bytes
         small = (lambda x: F.broadcast(x)) if few else (lambda x: x)
         places = _positions(base, g)
         wanted = grams.select("gram").distinct()

@@ -202,7 +202,7 @@ def test_decontamination_odd(spark, few):
 
     items = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("doc_id", F.lit(1))
     frame = docs(spark, ODD + [(12, "x " * 3000)], win="x", gram="y", item_id="z")
-    out = decontaminate.find_contamination(frame, items, broadcast_rows=few)
+    out = decontaminate.find_contamination(frame, items, broadcast_bytes=few)
     rows = out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256), "contaminated").collect()
     want = brute.contamination(ODD, ITEMS)
     assert len(rows) == len(ODD) + 1
