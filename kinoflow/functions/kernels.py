@@ -30,24 +30,57 @@ def to_luma(packed: np.ndarray, order: str) -> np.ndarray:
     return ((77 * r + 150 * g + 29 * b) >> 8).astype(np.uint8)
 
 
+@lru_cache(maxsize=1)
+def hsv_quotients() -> tuple[np.ndarray, np.ndarray]:
+    """All rounded quotients, in whole numbers: saturation by (value, spread); hue by (sector, whether the difference is
+    negative, spread, difference modulo 256)."""
+    v, d = np.arange(256)[:, None], np.arange(256)[None, :]
+    sat = np.where(v > 0, (510 * d + v) // np.maximum(2 * v, 1), 0)
+    spread, hues = np.arange(256)[:, None], []
+    for turn in (0, 360), (120, 120), (240, 240):
+        for negative, begin in enumerate(turn):
+            diff = np.arange(256)[None, :] - 256 * negative
+            hue = np.minimum((60 * diff + begin * spread + spread) // np.maximum(2 * spread, 1), 179)
+            hues.append(np.where(spread > 0, hue, 0))
+    return sat.astype(np.uint8).reshape(-1), np.stack(hues).astype(np.uint8).reshape(-1)
+
+
+#: Pixels worked on together, so that what is between the steps stays in the cache.
+RUN = 1 << 15
+
+
 def to_hsv(packed: np.ndarray, order: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Planes with hue in 0..179: whole-number forms of the rounded quotients."""
-    r, g, b = channels(packed, order)
-    v = np.maximum(np.maximum(r, g), b)
-    d = v - np.minimum(np.minimum(r, g), b)
-    s = np.where(v > 0, (510 * d + v) // np.maximum(2 * v, 1), 0)
-    from_r, from_g = v == r, v == g
-    diff = np.where(from_r, g - b, np.where(from_g, b - r, r - g))
-    turn = np.where(from_r, np.where(diff < 0, 360, 0), np.where(from_g, 120, 240))
-    h = np.where(d > 0, np.minimum((60 * diff + turn * d + d) // np.maximum(2 * d, 1), 179), 0)
-    return h.astype(np.uint8), s.astype(np.uint8), v.astype(np.uint8)
+    """Planes with hue in 0..179; the quotients are looked up."""
+    sat_of, hue_of = hsv_quotients()
+    flat = packed.reshape(-1, 3)
+    first, last = (2, 0) if order.lower() == "bgr" else (0, 2)
+    h, s, v = (np.empty(len(flat), np.uint8) for _ in range(3))
+    for at in range(0, len(flat), RUN):
+        part = slice(at, at + RUN)
+        r, g, b = (np.ascontiguousarray(flat[part, i]) for i in (first, 1, last))
+        top = np.maximum(np.maximum(r, g), b)
+        spread = top - np.minimum(np.minimum(r, g), b)
+        # Products with 0 and 1 take the place of choices, which don't run on several pixels at once.
+        from_r = top == r
+        from_g = (top == g) > from_r
+        from_b = ~(from_r | from_g)
+        negative = (from_r & (g < b)) | (from_g & (b < r)) | (from_b & (r < g))
+        is_r, is_g, is_b, below = (x.view(np.uint8) for x in (from_r, from_g, from_b, negative))
+        diff = (g - b) * is_r + (b - r) * is_g + (r - g) * is_b
+        sector = 2 * is_g + 4 * is_b + below
+        wide = spread.astype(np.int32)
+        np.take(sat_of, (top.astype(np.int32) << 8) + wide, out=s[part], mode="clip")
+        np.take(hue_of, (sector.astype(np.int32) << 16) + (wide << 8) + diff, out=h[part], mode="clip")
+        v[part] = top
+    shape = packed.shape[:-1]
+    return h.reshape(shape), s.reshape(shape), v.reshape(shape)
 
 
 def histogram(planes: np.ndarray, bins: int) -> np.ndarray:
     n = len(planes)
     flat = planes.reshape(n, -1)
     if flat.shape[1] >= 4096:  # large frames one by one: counts of the 256 values, then of the bins that hold them
-        values = np.stack([np.bincount(x, minlength=256) for x in flat])
+        values = np.stack([value_counts(x) for x in flat])
     else:
         values = np.bincount((flat + 256 * np.arange(n)[:, None]).reshape(-1), minlength=n * 256).reshape(n, 256)
     if bins == 256:
@@ -57,9 +90,35 @@ def histogram(planes: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
+def value_counts(flat: np.ndarray) -> np.ndarray:
+    """How often each of the 256 values occurs; in runs, as counting widens each value to eight bytes."""
+    out = np.zeros(256, np.int64)
+    for at in range(0, len(flat), RUN):
+        out += np.bincount(flat[at : at + RUN], minlength=256)
+    return out
+
+
+def byte_sums(planes: np.ndarray) -> np.ndarray:
+    """The sum of each plane's bytes. 128 pairs of bytes fit into 16 bits, so four such sums run in each 64-bit word."""
+    flat = np.ascontiguousarray(planes).reshape(len(planes), -1)
+    n, size = flat.shape
+    groups = size // 1024
+    if not groups:
+        return flat.sum(axis=1, dtype=np.int64)
+    out = flat[:, groups * 1024 :].sum(axis=1, dtype=np.int64)
+    mask = np.uint64(0x00FF00FF00FF00FF)
+    for i in range(n):
+        words = flat[i, : groups * 1024].view(np.uint64).reshape(128, groups)
+        for at in range(0, groups, 256):
+            part = words[:, at : at + 256]
+            pairs = (part & mask) + ((part >> np.uint64(8)) & mask)
+            out[i] += int(pairs.sum(axis=0).view(np.uint16).sum(dtype=np.int64))
+    return out
+
+
 def mean(planes: np.ndarray) -> np.ndarray:
-    flat = planes.reshape(len(planes), -1)
-    return flat.sum(axis=1, dtype=np.int64) / flat.shape[1] if flat.shape[1] else np.zeros(len(planes))
+    size = planes.reshape(len(planes), -1).shape[1]
+    return byte_sums(planes) / size if size else np.zeros(len(planes))
 
 
 def mean_variance(planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,19 +155,24 @@ def _around(p: np.ndarray, y: int, x: int) -> np.ndarray:
 
 
 def gradients(planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """3x3 Sobel (gx, gy) of the interior."""
-    p = planes.astype(np.int32)
-    a = lambda y, x: _around(p, y, x)
-    gx = a(-1, 1) + 2 * a(0, 1) + a(1, 1) - a(-1, -1) - 2 * a(0, -1) - a(1, -1)
-    gy = a(1, -1) + 2 * a(1, 0) + a(1, 1) - a(-1, -1) - 2 * a(-1, 0) - a(-1, 1)
-    return gx, gy
+    """3x3 Sobel (gx, gy) of the interior: a smoothed column or row against the next but one."""
+    p = planes.astype(np.int16)
+    down = p[:, :-2] + p[:, 2:]
+    down += p[:, 1:-1]
+    down += p[:, 1:-1]
+    along = p[:, :, :-2] + p[:, :, 2:]
+    along += p[:, :, 1:-1]
+    along += p[:, :, 1:-1]
+    return down[:, :, 2:] - down[:, :, :-2], along[:, 2:] - along[:, :-2]
 
 
 def directions(gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
     """0 level, 2 upright, 1 and 3 the diagonals by whether the signs agree."""
-    ax, ay = np.abs(gx), np.abs(gy)
-    slanted = np.where(np.sign(gx) == np.sign(gy), 1, 3)
-    return np.where(1000 * ay < 414 * ax, 0, np.where(1000 * ay > 2414 * ax, 2, slanted)).astype(np.uint8)
+    ax, ay = np.abs(gx).astype(np.int32), np.abs(gy).astype(np.int32)
+    one_sided = (np.sign(gx) == np.sign(gy)).view(np.uint8)
+    ay *= 1000
+    upright = (ay > 2414 * ax).view(np.uint8)
+    return (3 - 2 * one_sided) * ((ay >= 414 * ax).view(np.uint8) - upright) + 2 * upright
 
 
 def _small(planes: np.ndarray) -> bool:
@@ -157,7 +221,7 @@ def mean_abs_diff(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x, y = a.reshape(len(a), -1), b.reshape(len(b), -1)
     if not x.shape[1]:
         return np.full(len(a), np.nan)
-    return (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64) / x.shape[1]
+    return byte_sums(np.maximum(x, y) - np.minimum(x, y)) / x.shape[1]
 
 
 def correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,70 +241,76 @@ def auto_kernel(width: int, height: int) -> int:
 
 
 def dilate(planes: np.ndarray, kernel: int) -> np.ndarray:
-    """The largest value of the k x k window around each pixel, clipped at the borders."""
+    """The largest value of the k x k window around each pixel, clipped at the borders. Windows of 1, 2, 4... pixels are
+    made from two of half the size, the last from two that overlap."""
     out, r = planes, kernel // 2
+    if not r:
+        return planes
     for axis in (1, 2):
-        grown = out.copy()
         n = out.shape[axis]
-        for shift in range(1, min(r, n - 1) + 1):
-            front = [slice(None)] * 3
-            back = [slice(None)] * 3
-            front[axis], back[axis] = slice(shift, None), slice(None, n - shift)
-            np.maximum(grown[tuple(back)], out[tuple(front)], out=grown[tuple(back)])
-            np.maximum(grown[tuple(front)], out[tuple(back)], out=grown[tuple(front)])
+        shape = list(out.shape)
+        shape[axis] = n + 2 * r
+        grown = np.zeros(shape, out.dtype)
+        at = lambda start, stop: tuple(slice(start, stop) if i == axis else slice(None) for i in range(3))  # noqa: E731, B023
+        grown[at(r, r + n)] = out
+        width = 1
+        while width < 2 * r + 1:
+            step = min(width, 2 * r + 1 - width)
+            grown = np.maximum(grown[at(0, grown.shape[axis] - step)], grown[at(step, None)])
+            width += step
         out = grown
     return out
 
 
 def _spread(state: np.ndarray) -> None:
-    """Weak pixels (1) beside strong ones (2) get strong: two sweeps over the frame, each there and back, in place.
+    """Weak pixels (1) beside strong ones (2) get strong: two sweeps over each frame, there and back, in place.
 
-    Within a sweep a pixel sees what the sweep has already done; rows go one by one, and a run of weak pixels behind a
-    strong one follows it.
+    Within a sweep a pixel sees what the sweep has already done. A sweep in raster order therefore reaches all weak
+    pixels that hang on a strong one by steps to the right and to the three below, the way back those of the opposite
+    steps; so the strong ones grow step by step along those until nothing is added. The border holds no weak pixels.
     """
-    h, w = state.shape
-    if h < 3 or w < 3:
-        return
-    for step in (1, -1, 1, -1):
-        rows = range(1, h - 1) if step == 1 else range(h - 2, 0, -1)
-        for y in rows:
-            row = state[y]
-            weak = np.flatnonzero(row[1 : w - 1] == 1) + 1
-            if not len(weak):
-                continue
-            beside = state[y - step] == 2
-            for x in (weak if step == 1 else weak[::-1]).tolist():
-                if beside[x - 1] or beside[x] or beside[x + 1] or row[x - step] == 2:
-                    row[x] = 2
-
-
-def edges(v: np.ndarray, kernel: int | None = None) -> np.ndarray:
-    """Edge maps (0 or 255) of value planes: thinned gradients between thresholds around each median, then dilated."""
+    flat, w = state.reshape(-1), state.shape[2]
+    for sign in (1, -1, 1, -1):
+        steps = sign * np.array([1, w - 1, w, w + 1])
+        weak = np.flatnonzero(flat == 1)
+        beside = np.zeros(len(weak), bool)
+        for step in steps:
+            beside |= flat[weak - step] == 2
+        grown = weak[beside]
+        while len(grown):
+            flat[grown] = 2
+            near = (grown[:, None] + steps).reshape(-1)
+            grown = np.unique(near[flat[near] == 1])
+
+
+def edge_map(v: np.ndarray) -> np.ndarray:
+    """Thinned gradients of value planes, 0 or 255: strong ones, and weak ones that hang on them, by thresholds around
+    each plane's median."""
     n, h, w = v.shape
-    out = np.zeros(v.shape, np.uint8)
     if _small(v):
-        return out
+        return np.zeros(v.shape, np.uint8)
     gx, gy = gradients(v)
-    mag = np.zeros(v.shape, np.int32)
+    mag = np.zeros(v.shape, np.int16)
     mag[:, 1:-1, 1:-1] = np.abs(gx) + np.abs(gy)
-    way = directions(gx, gy)
     inner = mag[:, 1:-1, 1:-1]
+    counts = histogram(v, 256).cumsum(axis=1)
+    median = (counts <= (h * w) // 2).sum(axis=1).astype(np.float32)
+    third = np.float32(1.0) / np.float32(3.0)
+    low = np.maximum((np.float32(1) - third) * median, 0).astype(np.uint8).astype(np.int16)[:, None, None]
+    high = np.minimum((np.float32(1) + third) * median, 255).astype(np.uint8).astype(np.int16)[:, None, None]
+    way = directions(gx, gy) | ((inner < np.maximum(low, 1)).view(np.uint8) << np.uint8(2))
     keep = np.zeros(inner.shape, bool)
     for k, (dy, dx) in enumerate(((0, 1), (1, 1), (1, 0), (-1, 1))):
         keep |= (way == k) & (inner >= _around(mag, dy, dx)) & (inner >= _around(mag, -dy, -dx))
-    keep &= inner > 0
-    third = np.float32(1.0) / np.float32(3.0)
-    order = np.sort(v.reshape(n, -1), axis=1)
-    median = order[:, (h * w) // 2].astype(np.float32)
-    low = np.maximum((np.float32(1) - third) * median, 0).astype(np.uint8).astype(np.int32)[:, None, None]
-    high = np.minimum((np.float32(1) + third) * median, 255).astype(np.uint8).astype(np.int32)[:, None, None]
-    state = np.where(keep, np.where(inner >= high, 2, np.where(inner >= low, 1, 0)), 0).astype(np.uint8)
-    for i in range(n):
-        whole = np.zeros((h, w), np.uint8)
-        whole[1:-1, 1:-1] = state[i]
-        _spread(whole)
-        out[i] = np.where(whole == 2, 255, 0)
-    return dilate(out, kernel or auto_kernel(w, h))
+    state = np.zeros(v.shape, np.uint8)
+    np.add(keep, keep & (inner >= high), out=state[:, 1:-1, 1:-1], dtype=np.uint8)
+    _spread(state)
+    return np.where(state == 2, np.uint8(255), np.uint8(0))
+
+
+def edges(v: np.ndarray, kernel: int | None = None) -> np.ndarray:
+    """Dilated edge maps of value planes."""
+    return dilate(edge_map(v), kernel or auto_kernel(v.shape[2], v.shape[1]))
 
 
 @lru_cache(maxsize=64)

@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from kinoflow.functions.columns import DOMAIN, METRICS
 from kinoflow.operators.features import compute_features
@@ -24,6 +25,8 @@ EVENTS = (
     "plane string, score double, reference double, components array<double>, metrics array<float>"
 )
 ZERO = dict.fromkeys(METRICS, 0.0)
+#: The column of edge deltas by lane; without one of its own, adaptive has content's kernel.
+EDGES = {"content": "d_edges", "adaptive": "d_edges_adaptive"}
 f32 = np.float32
 
 
@@ -177,11 +180,14 @@ class SceneMachine:
     def _lane(self, name: str):
         return getattr(self.o, name)
 
-    def _score(self, row: dict, weights) -> float | None:
+    def _score(self, row: dict, lane: str) -> tuple[float, list[float]] | None:
+        """The lane's score, and what it is made of: edges of the lane's own kernel, and only if it weighs them."""
         if row.get("d_lum") is None:
             return None
-        parts = (row["d_hue"], row["d_sat"], row["d_lum"], row.get("d_edges") or 0.0)
-        return sum(w * d for w, d in zip(weights, parts, strict=True)) / sum(map(abs, weights))
+        weights = self._lane(lane).weights
+        edges = EDGES[lane] if row.get(EDGES[lane]) is not None else EDGES["content"]
+        parts = [row["d_hue"], row["d_sat"], row["d_lum"], (row.get(edges) or 0.0) if weights[3] != 0 else 0.0]
+        return sum(w * d for w, d in zip(weights, parts, strict=True)) / sum(map(abs, weights)), parts
 
     def _reports(self, row: dict) -> list[tuple[int, dict]]:
         """What each lane reports at this frame, in order of precedence."""
@@ -198,13 +204,12 @@ class SceneMachine:
         if "phash" in self.o.lanes and row.get("phash_distance") is not None and row["phash_distance"] >= self.o.phash.threshold:
             out.append((pts, self._why("phash", row["phash_distance"])))
         if "content" in self.o.lanes:
-            score = self._score(row, self.o.content.weights)
-            if score is not None and score >= self.o.content.threshold:
-                parts = [row["d_hue"], row["d_sat"], row["d_lum"], row.get("d_edges") or 0.0]
-                out.append((pts, self._why("content", score, self.o.content.threshold) | {"components": parts}))
+            found = self._score(row, "content")
+            if found and found[0] >= self.o.content.threshold:
+                out.append((pts, self._why("content", found[0], self.o.content.threshold) | {"components": found[1]}))
         if self.adaptive:
-            score = self._score(row, self.o.adaptive.weights)
-            hit = self.adaptive.push(pts, score) if score is not None else None
+            found = self._score(row, "adaptive")
+            hit = self.adaptive.push(pts, found[0]) if found else None
             if hit:
                 out.append((hit[0], self._why("adaptive", hit[1], hit[2])))
         return out
@@ -366,33 +371,52 @@ class SceneMachine:
         return out
 
 
-def lane_features(frames: DataFrame, options: SceneOptions, chunk: int | None = None) -> DataFrame:
-    """The columns that the machine needs, and no others: lanes that are off cost nothing."""
+def lane_columns(options: SceneOptions) -> tuple[list[str], dict]:
+    """The features that the lanes need, and how they are made."""
     names = []
     for lane, column in (("threshold", "luma_mean"), ("luma_histogram", "corr_luma"), ("hue_histogram", "corr_hue"),
                          ("sat_histogram", "corr_sat"), ("phash", "phash_distance")):
         if lane in options.lanes:
             names.append(column)
-    planes = [getattr(options, x).weights for x in ("content", "adaptive") if x in options.lanes]
-    if planes:
-        names += ["d_hue", "d_sat", "d_lum"] + (["d_edges"] if any(w[3] for w in planes) else [])
-    kernel = options.content.kernel_size if "content" in options.lanes else options.adaptive.kernel_size
-    return compute_features(
-        frames, (*names, *METRICS), bins=options.luma_histogram.bins,
-        bins_hsv=(options.hue_histogram.bins, options.sat_histogram.bins), hash_size=options.phash.size,
-        lowpass=options.phash.lowpass, kernel=kernel, staged=options.selector(), extractors=options.extractors,
-        reset_all=True, chunk=chunk,
-    )
+    weighed = {x: getattr(options, x) for x in ("content", "adaptive") if x in options.lanes}
+    if weighed:
+        names += ["d_hue", "d_sat", "d_lum"]
+    kernels = {x: o.kernel_size for x, o in weighed.items() if o.weights[3] != 0}
+    if kernels:
+        names.append("d_edges")
+        if len(set(kernels.values())) > 1:
+            names.append("d_edges_adaptive")
+    return names, {
+        "bins": options.luma_histogram.bins, "bins_hsv": (options.hue_histogram.bins, options.sat_histogram.bins),
+        "hash_size": options.phash.size, "lowpass": options.phash.lowpass,
+        "kernel": next(iter(kernels.values()), None), "kernel_adaptive": kernels.get("adaptive"),
+        "staged": options.selector(), "extractors": options.extractors, "reset_all": True,
+    }
+
+
+def lane_features(frames: DataFrame, options: SceneOptions, chunk: int | None = None, admit: bool = False) -> DataFrame:
+    """The columns that the machine needs, and no others: lanes that are off cost nothing."""
+    names, how = lane_columns(options)
+    return compute_features(frames, (*names, *METRICS), chunk=chunk, admit=admit, **how)
 
 
 def scene_events(frames: DataFrame, options: SceneOptions = SceneOptions(), chunk: int | None = None) -> DataFrame:
     """The EVENTS of every stream: keyframes and scenes that tile it, in the order in which they come out.
 
-    Frames that fail a check, and times out of order or at the limit, are left out (``rejected_frames`` has them).
+    Frames that fail a check, and times out of order or at the limit, are left out (``rejected_frames`` has them). Whole
+    streams are admitted within the pass over their planes, which are shuffled once. With ``chunk`` a stream is many
+    tasks, so times are worked out first, on narrow rows, and joined to the frames.
     """
     good, _ = checked(frames, MAX_AREA)
-    admitted = canonical_pts(good).where("rejected is null").drop("rejected")
-    return fold_streams(lane_features(admitted, options, chunk), lambda: SceneMachine(options), EVENTS)
+    if chunk is None:
+        features = lane_features(good, options, admit=True)
+    else:
+        times = canonical_pts(good.select("stream_id", "seq", "pts", "tb_num", "tb_den")).where("rejected is null").drop("rejected")
+        nth = F.row_number().over(Window.partitionBy("stream_id").orderBy("seq")) - 1  # chunks need a seq without gaps
+        times = times.select(F.col("stream_id").alias("_s"), F.col("seq").alias("_q"), nth.cast("long").alias("_nth"), "pts", "tb_num", "tb_den")
+        admitted = good.drop("pts", "tb_num", "tb_den").join(times, (F.col("stream_id") == F.col("_s")) & (F.col("seq") == F.col("_q")))
+        features = lane_features(admitted.drop("_s", "_q", "seq").withColumnRenamed("_nth", "seq"), options, chunk)
+    return fold_streams(features, lambda: SceneMachine(options), EVENTS)
 
 
 def rejected_frames(frames: DataFrame) -> DataFrame:

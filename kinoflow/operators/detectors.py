@@ -18,10 +18,14 @@ def by_seq() -> WindowSpec:
 
 def spaced(scored: DataFrame, options, machine=Spacing) -> DataFrame:
     """(stream_id, pts, score) of the candidates that the spacing rule lets through. Without a least duration every
-    candidate fires and no state is needed."""
+    candidate fires and no state is needed; otherwise only candidates and each stream's first row reach the fold."""
     if options.min_duration == 0:
         return scored.where("candidate").select("stream_id", "pts", F.col("score").cast("double").alias("score"))
-    return fold_streams(scored, lambda: machine(options), CUTS)
+    rows = scored.where(F.col("score").isNotNull()) if machine is ScoredSpacing else scored
+    names = [c for c in ("tb_num", "tb_den") if c in rows.columns]
+    rows = rows.select("stream_id", "seq", "pts", *names, F.col("score").cast("double").alias("score"), "candidate")
+    rows = rows.withColumn("nth", F.row_number().over(by_seq())).where("candidate or nth = 1").drop("nth")
+    return fold_streams(rows, lambda: machine(options), CUTS)
 
 
 def histogram_cuts(frames: DataFrame, options: HistogramOptions = HistogramOptions(), chunk: int | None = None) -> DataFrame:
@@ -41,8 +45,10 @@ def phash_cuts(frames: DataFrame, options: PhashOptions = PhashOptions(), chunk:
 def fade_cuts(means: DataFrame, options: ThresholdOptions = ThresholdOptions()) -> DataFrame:
     """Cuts at fades, from (stream_id, seq, pts, mean) with optional tb_num and tb_den.
 
-    Without a least duration the rule is a window over changes of state; otherwise it is folded.
+    Without a least duration the rule is a window over changes of state; otherwise it is folded. Rows without a mean
+    count as no frames.
     """
+    means = means.where(F.col("mean").isNotNull())
     if options.min_duration > 0:
         return fold_streams(means, lambda: Fade(options), CUTS)
     dark = F.col("mean") < options.threshold if options.method == "floor" else F.col("mean") >= options.threshold

@@ -19,19 +19,22 @@ from pyspark.sql.types import _parse_datatype_string
 from kinoflow.functions import kernels as K
 from kinoflow.functions.columns import METRICS
 from kinoflow.options import EXTRACTORS, SelectOptions
+from kinoflow.timebase import LIMIT
 
+#: Bytes of planes that are stacked together.
+STACK = 32 << 20
 COLUMNS = {
     "luma_mean": "double", "rgb_mean": "double", "hist_luma": "array<int>", "hist_hue": "array<int>", "hist_sat": "array<int>",
     "corr_luma": "double", "corr_hue": "double", "corr_sat": "double", "phash": "array<long>", "phash_distance": "double",
-    "d_hue": "double", "d_sat": "double", "d_lum": "double", "d_edges": "double", "luma_planes": "binary",
+    "d_hue": "double", "d_sat": "double", "d_lum": "double", "d_edges": "double", "d_edges_adaptive": "double", "luma_planes": "binary",
     "hue_planes": "binary", "sat_planes": "binary", "val_planes": "binary", "edge_count": "long",
 } | {m: "float" for m in METRICS}
 CARRIED = ("stream_id", "seq", "pts", "tb_num", "tb_den", "width", "height")
 NEEDS = {
     "luma": {"luma_mean", "hist_luma", "corr_luma", "phash", "phash_distance", "luma_planes", "brightness", "luma_variance",
              "sharpness", "noise", "motion_blur"},
-    "hsv": {"hist_hue", "hist_sat", "corr_hue", "corr_sat", "d_hue", "d_sat", "d_lum", "d_edges", "edge_count", "hue_planes",
-            "sat_planes", "val_planes", "saturation_variance"},
+    "hsv": {"hist_hue", "hist_sat", "corr_hue", "corr_sat", "d_hue", "d_sat", "d_lum", "d_edges", "d_edges_adaptive", "edge_count",
+            "hue_planes", "sat_planes", "val_planes", "saturation_variance"},
     "rgb": {"rgb_mean", "clipping", "colorfulness"},
 }
 
@@ -81,6 +84,38 @@ class Frames:
     def _gradients(self):
         return K.gradients(self.get("luma"))
 
+    def shrink(self, longest: int) -> None:
+        """Area averages with that longest side take the place of the frames: of the packed view, from which the others
+        are then made, or of the single planes where there is none."""
+        if self._has("rgb"):
+            self.made = {"rgb": K.downscale(self.get("rgb"), longest)}
+            self.rows = {k: v for k, v in self.rows.items() if k not in ("luma", "hue", "sat", "val")}
+        else:
+            small = {}
+            if self._has("luma"):
+                small["luma"] = K.downscale(self.get("luma")[..., None], longest)[..., 0]
+            if self._has("hue"):
+                small["hsv"] = tuple(K.downscale(p[..., None], longest)[..., 0] for p in self.get("hsv"))
+            self.made = small
+        self.w, self.h = K.downscaled_size(self.w, self.h, longest)
+
+
+class Admission:
+    """Times of a stream's frames in the timebase of its first, rounded up; None for frames that can't be admitted."""
+
+    def __init__(self):
+        self.tb = self.last = None
+
+    def pts(self, pts: int, tb_num: int, tb_den: int) -> int | None:
+        self.tb = self.tb or (tb_num, tb_den)
+        num, den = self.tb
+        if (tb_num, tb_den) != self.tb:
+            pts = -(-pts * tb_num * den // (num * tb_den))
+        if pts >= LIMIT or (self.last is not None and pts < self.last):
+            return None
+        self.last = pts
+        return pts
+
 
 def metrics_of(f: Frames, wanted: set[str], staged: SelectOptions | None, extractors: tuple[str, ...]) -> dict[str, np.ndarray]:
     """The wanted metrics. With ``staged`` options the costly ones are 0 where the cheap ones already reject a frame,
@@ -129,15 +164,19 @@ def _lagged(now: np.ndarray, before, compare, empty: float = np.nan) -> tuple[np
 
 class FeatureMaker:
     def __init__(self, wanted: tuple[str, ...], bins: int, bins_hsv: tuple[int, int], hash_size: int, lowpass: int, kernel: int | None,
-                 staged: SelectOptions | None, extractors: tuple[str, ...], reset_all: bool, luma_only: bool):
+                 staged: SelectOptions | None, extractors: tuple[str, ...], reset_all: bool, luma_only: bool,
+                 kernel_adaptive: int | None = None, longest: int | None = None):
         self.wanted, self.bins, self.bins_hsv = wanted, bins, bins_hsv
         self.hash_size, self.lowpass, self.kernel = hash_size, lowpass, kernel
+        self.kernel_adaptive, self.longest = kernel_adaptive, longest
         self.staged, self.extractors, self.reset_all, self.luma_only = staged, extractors, reset_all, luma_only
         self.last: dict[str, np.ndarray] = {}
         self.size = None
 
     def run(self, rows: dict[str, list], fresh: bool) -> dict[str, list]:
         f = Frames(rows, self.luma_only)
+        if self.longest and max(f.w, f.h) > self.longest and min(f.w, f.h):
+            f.shrink(self.longest)
         resized = self.size is not None and self.size != (f.w, f.h)
         if fresh or (resized and self.reset_all):
             self.last = {}
@@ -168,16 +207,19 @@ class FeatureMaker:
             if "phash" in want:
                 out["phash"] = code.view(np.int64).tolist()
             lag("phash", code, lambda a, b: K.hamming(a, b) / self.hash_size**2, "phash_distance")
-        if want & {"d_hue", "d_sat", "d_lum", "d_edges", "edge_count"}:
+        if want & {"d_hue", "d_sat", "d_lum", "d_edges", "d_edges_adaptive", "edge_count"}:
             for name, plane in zip(("d_hue", "d_sat", "d_lum"), f.get("hsv"), strict=True):
                 if self.luma_only and name != "d_lum":
                     plane = np.zeros_like(plane)
                 lag(f"plane_{name}", plane, K.mean_abs_diff, name)
-            if want & {"d_edges", "edge_count"}:
-                edge = K.edges(f.get("hsv")[2], self.kernel)
+            if want & {"d_edges", "d_edges_adaptive", "edge_count"}:
+                thin, auto = K.edge_map(f.get("hsv")[2]), K.auto_kernel(f.w, f.h)
+                edge = K.dilate(thin, self.kernel or auto)
                 if "edge_count" in want:
                     out["edge_count"] = (edge > 0).reshape(f.n, -1).sum(axis=1).tolist()
                 lag("plane_edges", edge, K.mean_abs_diff, "d_edges")
+                if "d_edges_adaptive" in want:
+                    lag("plane_edges_adaptive", K.dilate(thin, self.kernel_adaptive or auto), K.mean_abs_diff, "d_edges_adaptive")
         if want & set(METRICS):
             for name, values in metrics_of(f, want & set(METRICS), self.staged, self.extractors).items():
                 if name in want:
@@ -203,6 +245,9 @@ def compute_features(
     luma_only: bool = False,
     chunk: int | None = None,
     extra: tuple[str, ...] = (),
+    kernel_adaptive: int | None = None,
+    longest: int | None = None,
+    admit: bool = False,
 ) -> DataFrame:
     """Per frame: stream_id, seq, pts, tb_num, tb_den, width, height, and the ``wanted`` COLUMNS.
 
@@ -210,7 +255,13 @@ def compute_features(
     of planes are null too, and with ``reset_all`` those of histograms and hashes. ``chunk``: streams are cut after
     so many of their ``seq`` (which must then count up by one), each piece with the frame before it, and spread over
     tasks. Frames are read with only the views that the features need. Features without a lag need no shuffle.
+
+    ``longest``: frames are scaled down to that longest side first (the selector's thresholds are made for 256); width
+    and height stay those of the frame. ``admit``: times become those of the stream's first timebase, and frames out of
+    order or at the limit are left out, within the same pass; it needs whole streams, so no ``chunk``.
     """
+    if admit and chunk:
+        raise ValueError("admission needs whole streams")
     unknown = set(wanted) - set(COLUMNS)
     if unknown:
         raise ValueError(f"no such feature: {', '.join(sorted(unknown))}")
@@ -224,21 +275,36 @@ def compute_features(
         rows = rows.withColumn("_p", F.explode(F.when((F.col("seq") + 1) % chunk == 0, both).otherwise(F.slice(both, 1, 1))))
         rows = rows.select("*", "_p.of", "_p.only_before").drop("_p")
         rows = rows.repartition("stream_id", "of").sortWithinPartitions("stream_id", "of", "seq")
-    elif lagged:
+    elif lagged or admit:
         rows = rows.repartition("stream_id").sortWithinPartitions("stream_id", "seq")
     kept = [*CARRIED, *[c for c in extra if c not in CARRIED]]
     kinds = dict(frames.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in kept), *(f"{w} {COLUMNS[w]}" for w in wanted)])
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    args = (wanted, bins, bins_hsv, hash_size, lowpass, kernel, staged, extractors, reset_all, luma_only)
+    args = (wanted, bins, bins_hsv, hash_size, lowpass, kernel, staged, extractors, reset_all, luma_only, kernel_adaptive, longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, group = FeatureMaker(*args), None
+        gate, stream = Admission(), None
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            step = max(1, min(2048, STACK * whole.num_rows // max(whole.nbytes, 1)))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 data = {n: batch.column(n).to_pylist() for n in batch.schema.names}
                 n = batch.num_rows
+                if admit:
+                    times = []
+                    for s, *time in zip(data["stream_id"], data["pts"], data["tb_num"], data["tb_den"], strict=True):
+                        if s != stream:
+                            gate, stream = Admission(), s
+                        times.append((gate.pts(*time), *gate.tb))
+                    live = [i for i, t in enumerate(times) if t[0] is not None]
+                    data = {k: [v[i] for i in live] for k, v in data.items()}
+                    for k, name in enumerate(("pts", "tb_num", "tb_den")):
+                        data[name] = [times[i][k] for i in live]
+                    n = len(live)
+                    if not n:
+                        continue
                 keys = list(zip(data["stream_id"], data.get("of", [0] * n), strict=True))
                 marks = [(data["width"][i], data["height"][i], keys[i], (data.get("channel_order") or [None] * n)[i],
                           (data.get("luma") or [None] * n)[i] is None, (data.get("hue") or [None] * n)[i] is None) for i in range(n)]

@@ -89,6 +89,8 @@ class Fade:
 
     def push(self, row: dict) -> list[dict]:
         pts, tb, mean, o = row["pts"], _base(row), row["mean"], self.o
+        if mean is None:  # nothing was seen: as if there were no frame
+            return []
         dark = mean < o.threshold if o.method == "floor" else mean >= o.threshold
         if self.last is None:
             self.last = pts - ticks_of(o.min_duration, tb) if o.initial_cut else pts

@@ -46,23 +46,29 @@ def effective_floor(frames: DataFrame, options: SelectOptions = SelectOptions(),
     It is min_sharpness, or a percentile of the shot's frames that pass the gate if that is lower and there are enough
     of them; at most 4096, evenly spaced in time, are looked at.
     """
+    return with_floor(frames, options, by).select(*by, "floor").distinct()
+
+
+def with_floor(frames: DataFrame, options: SelectOptions = SelectOptions(), by=("stream_id", "start_pts")) -> DataFrame:
+    """Adds each shot's ``floor`` to its frames, by windows over one shuffle: frames are made once, and nothing is joined."""
+    floor = F.lit(options.min_sharpness).cast("float")
     if not options.adaptive_floor:
-        return frames.select(*by).distinct().withColumn("floor", F.lit(options.min_sharpness).cast("float"))
-    order = Window.partitionBy(*by).orderBy("pts", "seq")
+        return frames.withColumn("floor", floor)
     whole = Window.partitionBy(*by)
-    good = frames.where(~hard_gate(metric_columns(), options)).select(*by, "pts", "seq", "sharpness")
-    good = good.withColumns({"at": F.row_number().over(order) - 1, "total": F.count("*").over(whole)})
-    want = F.least(F.col("total"), F.lit(SAMPLES))
-    slot = F.expr(f"(at * least(total, {SAMPLES})) div total")
-    before = F.expr(f"((at - 1) * least(total, {SAMPLES})) div total")
-    good = good.where((F.col("at") == 0) | (slot != before))
-    least = max(options.adaptive_min_samples, 1)
-    values = good.groupBy(*by).agg(F.array_sort(F.collect_list("sharpness")).alias("v"), F.first("total").alias("total"))
-    at = F.least((F.size("v") * float(options.adaptive_percentile)).cast("int"), F.size("v") - 1)
-    floor = F.lit(options.min_sharpness).cast("float")
-    low = F.when(F.col("total") >= least, F.least(floor, F.get("v", at)))
-    shots = frames.select(*by).distinct()
-    return shots.join(values, list(by), "left").select(*by, F.coalesce(low, floor).alias("floor"))
+    good = ~hard_gate(metric_columns(), options)
+    rows = frames.withColumns({"_good": good, "_total": F.count_if(good).over(whole)})
+    rows = rows.withColumn("_at", F.count_if("_good").over(whole.orderBy("pts", "seq").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    slot = F.expr(f"(_at * least(_total, {SAMPLES})) div _total")
+    before = F.expr(f"((_at - 1) * least(_total, {SAMPLES})) div _total")
+    rows = rows.withColumn("_seen", F.col("_good") & ((F.col("_at") == 0) | (slot != before)))
+    rows = rows.withColumn("_rank", F.when(F.col("_seen"), F.row_number().over(whole.orderBy(F.desc("_seen"), "sharpness", "pts", "seq")) - 1))
+    seen = F.count_if("_seen").over(whole)
+    at = F.least((seen * float(options.adaptive_percentile)).cast("long"), seen - 1)
+    low = F.max(F.when(F.col("_rank") == F.col("_want"), F.col("sharpness"))).over(whole)
+    rows = rows.withColumn("_want", at).withColumn("_low", low)
+    enough = F.col("_total") >= max(options.adaptive_min_samples, 1)
+    rows = rows.withColumn("floor", F.coalesce(F.when(enough, F.least(floor, F.col("_low"))), floor))
+    return rows.drop("_good", "_total", "_at", "_seen", "_rank", "_want", "_low")
 
 
 def shot_of(frames: DataFrame, shots: DataFrame) -> DataFrame:
@@ -94,8 +100,7 @@ def select_keyframes(frames: DataFrame, shots: DataFrame, options: SelectOptions
     of sensible metrics is the fallback. Ties go to the earliest. ``frames`` hold pts, seq and the metrics; ``shots``
     start_pts, end_pts, tb_num, tb_den.
     """
-    placed = placed_frames(frames, shots, options)
-    placed = placed.join(effective_floor(placed, options), ["stream_id", "start_pts"])
+    placed = with_floor(placed_frames(frames, shots, options), options)
     m = metric_columns()
     quality = composite_quality(m, options.weights)
     fine = ~F.isnan(quality) & (F.abs(quality) < F.lit(float("inf")).cast("float"))
@@ -108,6 +113,22 @@ def select_keyframes(frames: DataFrame, shots: DataFrame, options: SelectOptions
     return rows.select("stream_id", "start_pts", "end_pts", "bucket", "pts", "seq", "strict", "quality", *METRICS)
 
 
+def select_remaining(frames: DataFrame, options: SelectOptions = SelectOptions(), ends: DataFrame | None = None) -> DataFrame:
+    """Keyframes of streams that end without a closing cut: one shot a stream, from its first frame to its end.
+
+    ``ends``: (stream_id, end_pts); by default a tick after the last frame. An end at or before the first frame: nothing.
+    """
+    first = frames.groupBy("stream_id").agg(
+        F.min("pts").alias("start_pts"), (F.max("pts") + 1).alias("last_pts"),
+        F.min_by("tb_num", "seq").alias("tb_num"), F.min_by("tb_den", "seq").alias("tb_den"),
+    )
+    if ends is None:
+        shots = first.withColumnRenamed("last_pts", "end_pts")
+    else:
+        shots = first.drop("last_pts").join(ends.select("stream_id", "end_pts"), "stream_id")
+    return select_keyframes(frames, shots.where("end_pts > start_pts"), options)
+
+
 def scene_of(keyframes: DataFrame, scenes: DataFrame) -> DataFrame:
     """Keyframes with the scene [start_pts, end_pts) that holds them."""
     return shot_of(keyframes, scenes)

@@ -234,6 +234,11 @@ class SceneOptions(Options):
             wide = name in self.lanes and o.weights[3] != 0 and (o.kernel_size or 0) > MAX_KERNEL
             need(not wide, "KernelTooLarge")
 
+    @classmethod
+    def _clamped(cls, made: dict) -> dict:
+        """Stored flags may be one string, ``"A | B"``, or a list."""
+        return made | {n: tuple(flags(made[n])) for n in ("lanes", "extractors") if isinstance(made.get(n), str)}
+
     @property
     def lag_frames(self) -> int:
         return 2 * self.adaptive.window_width + 3 if "adaptive" in self.lanes else 0
