@@ -160,6 +160,23 @@ def lineitem_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineitem_rows(spark, sf_dir).mapInArrow(render, FRAMES)
 
 
+def embedding_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8x8 luma frames in 8 streams from the embeddings' 64 components, without scenes."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("embedding").flatten().to_numpy().astype(np.float64).reshape(-1, 64)
+            planes = np.clip(np.floor((values + 0.6) * 255 / 1.2), 0, 255).astype(np.uint8)
+            yield pa.record_batch({"vec_id": batch.column("vec_id"), "luma": pa.array([p.tobytes() for p in planes], pa.binary())})
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    drawn = rows.mapInArrow(draw, "vec_id long, luma binary")
+    seq = F.floor(F.col("vec_id") / 8)
+    size = {name: F.lit(v) for name, v in (("width", 8), ("height", 8), ("luma_stride", 8), ("tb_num", 1), ("tb_den", 1000))}
+    made = drawn.select("luma", (F.col("vec_id") % 8).alias("stream_id"), seq.alias("seq"), (seq * 40).alias("pts")).withColumns(size)
+    return with_all_columns(spark, made)
+
+
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stream_id, seq, pts, value): a scalar a frame, from the events of each user."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")

@@ -11,9 +11,8 @@ from kinoflow.functions import columns as C
 from kinoflow.operators import cascade, detectors, features, keyframes
 from kinoflow.operators.cascade import SceneMachine, Selector
 from kinoflow.options import AdaptiveOptions, ContentOptions, HistogramOptions, PhashOptions, SceneOptions, SelectOptions, ThresholdOptions
-from kinoflow.plans.oracles import ORACLES
 from kinoflow.plans.queries import shots
-from kinoflow.plans.registry import QUERIES
+from kinoflow.plans.registry import ORACLES, QUERIES
 from kinoflow.sources import frames as S
 from kinoflow.timebase import Timebase
 
