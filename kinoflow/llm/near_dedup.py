@@ -221,8 +221,8 @@ def near_duplicates(
     )
 
     far = spokes.where("m > 2").join(linked, (F.col("pivot") == F.col("a")) & (F.col("rep") == F.col("b")), "left_anti")
-    open_buckets = far.select(F.col("bucket").alias("of")).distinct()
-    rest = cut(within.join(open_buckets, F.col("bucket") == F.col("of"), "left_semi").select("bucket", "m", "rep", "n", "pivot"))
+    open_buckets = far.select(F.col("bucket").alias("of"), F.col("m").alias("size"), F.lit(True).alias("open")).distinct()
+    rest = cut(hub_join(within, open_buckets, "bucket", "of", "size", within.count()).select("bucket", "m", "rep", "n", "pivot"))
     more = _links_in_blocks(rest, linked, sets, percent)
     # Rows of one id with different sets are one document: links between the sets' representatives.
     ids = real.groupBy("doc_id").agg(F.min("low").alias("l0"), F.max("low").alias("l1"), F.min("high").alias("h0"), F.max("high").alias("h1"))
