@@ -158,7 +158,7 @@ class SceneMachine:
     """Push feature rows in order; each push gives at most one event, ``finish`` all that are left."""
 
     def __init__(self, options: SceneOptions = SceneOptions()):
-        self.o = options
+        self.o, self.refused = options, None
         self._reset()
         self.out_seq = 0
 
@@ -309,7 +309,8 @@ class SceneMachine:
 
     def push(self, row: dict) -> list[dict]:
         pts = row["pts"]
-        if pts >= LIMIT or (self.last is not None and pts < self.last):
+        self.refused = "TimestampAtLimit" if pts >= LIMIT else "OutOfOrder" if self.last is not None and pts < self.last else None
+        if self.refused:
             return []  # not admitted; nothing changes
         size = (row["width"], row["height"])
         if self.tb is None:

@@ -247,6 +247,93 @@ def test_streaming_scenes_equal_batch(spark, lanes, tmp_path):
     assert sorted(map(key, got)) == sorted(map(key, want)) and len(want) > 9
 
 
+@pytest.fixture(scope="module")
+def pictures(spark, sf):
+    """The first frames of three streams, as a table; seq by arrival."""
+    return S.lineitem_frames(spark, sf).where("stream_id < 3 and seq <= 90")
+
+
+def frames_with_end(spark, frames):
+    end = frames.groupBy("stream_id").agg((F.max("seq") + 1).alias("seq"), F.lit(True).alias("eos"))
+    return S.with_all_columns(spark, frames).withColumn("eos", F.lit(False)).unionByName(end, allowMissingColumns=True)
+
+
+def feed(spark, tmp_path, frames, make, cuts=(31, 62)):
+    """The frames in batches of their seq, each batch in one file."""
+    src = tmp_path / "in"
+    src.mkdir(parents=True)
+    table = frames_with_end(spark, frames)
+    bounds = [-1, *cuts, 1 << 40]
+    for i, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        part = table.where((F.col("seq") > low) & (F.col("seq") <= high)).orderBy(F.xxhash64("seq"))
+        part.coalesce(1).write.parquet(str(src / f"p{i}"))
+    rows = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    name = f"f{abs(hash(str(tmp_path)))}"
+    query = make(rows).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.sql(f"SELECT * FROM {name}").collect()
+
+
+CASES = {
+    "histogram": (HistogramOptions(bins=16, min_duration=200 * MS), detectors.histogram_cuts),
+    "phash": (PhashOptions(size=6, lowpass=1, threshold=0.2, min_duration=200 * MS), detectors.phash_cuts),
+    "fade": (ThresholdOptions(threshold=100, min_duration=200 * MS, add_final_scene=True), detectors.frame_fades),
+    "content": (ContentOptions(weights=(1, 1, 1, 1), min_duration=120 * MS), detectors.content_cuts),
+    "adaptive": (AdaptiveOptions(min_duration=200 * MS, adaptive_threshold=2.0), lambda f, o: detectors.adaptive_cuts(detectors.content_scores(f), o)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_streaming_from_frames_equals_batch(spark, pictures, tmp_path, name):
+    """Lag-1 features go on from batch to batch."""
+    from kinoflow.streaming.stateful import stream_cuts
+
+    options, batch = CASES[name]
+    want = sorted((r["stream_id"], r["pts"]) for r in batch(pictures, options).collect())
+    got = feed(spark, tmp_path, pictures, lambda rows: stream_cuts(rows, options))
+    assert sorted((r["stream_id"], r["pts"]) for r in got) == want and want
+
+
+def test_streaming_scenes_from_frames(spark, pictures, tmp_path):
+    """Every event of the batch; an early frame and a late one come out as rejects and change nothing."""
+    from kinoflow.streaming.stateful import stream_scenes
+
+    o = SceneOptions(lanes=("threshold", "luma_histogram", "content", "adaptive"), luma_histogram=HistogramOptions(bins=16),
+                     threshold=ThresholdOptions(threshold=100), max_scene_duration=1000 * MS)
+    early = pictures.where("seq = 40").withColumns({"seq": F.lit(95).cast("long"), "pts": F.lit(40).cast("long")})
+    want = cascade.scene_events(pictures, o).collect()
+    got = feed(spark, tmp_path, pictures.unionByName(early), lambda rows: stream_scenes(rows, o, rejects=True))
+    key = lambda r: (r["stream_id"], r["out_seq"], r["event_kind"], r["pts"], r["start_pts"], r["end_pts"], r["provenance"])
+    assert sorted(map(str, map(key, (r for r in got if r["rejected"] is None)))) == sorted(map(str, map(key, want)))
+    assert sorted((r["stream_id"], r["pts"], r["rejected"]) for r in got if r["rejected"]) == [(s, 40, "OutOfOrder") for s in range(3)]
+    again = cascade.scene_events(pictures.unionByName(early), o, chunk=20).collect()
+    assert sorted(map(str, map(key, again))) == sorted(map(str, map(key, want)))
+
+
+def test_streaming_slack_and_late_rows(spark, tmp_path):
+    """With slack, rows may come in a later batch; rows later still are told apart."""
+    from kinoflow.streaming.stateful import stream_spaced
+
+    batches = [[1, 2, 5, 6], [3, 4, 8, 12], [1, 7, 13]]
+    schema = "stream_id long, seq long, pts long, score double, candidate boolean, eos boolean"
+    src = tmp_path / "in"
+    src.mkdir()
+    for i, seqs in enumerate(batches):
+        rows = [(1, q, q * 40, 0.0, True, False) for q in seqs] + ([(1, 99, 0, 0.0, False, True)] if i == 2 else [])
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(src / f"p{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+    made = stream_spaced(stream, HistogramOptions(min_duration=0), slack=3, rejects=True)
+    query = made.writeStream.format("memory").queryName("slacked").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
+    got = spark.sql("SELECT * FROM slacked").collect()
+    assert sorted(r["pts"] // 40 for r in got if not r["rejected"]) == [1, 2, 3, 4, 5, 6, 8, 12, 13]
+    assert sorted(r["pts"] // 40 for r in got if r["rejected"] == "Late") == [1, 7]
+
+
 def test_streaming_gates_equal_batch(spark, sf, tmp_path):
     from kinoflow.streaming.stateful import stream_content_cuts, stream_fades, stream_spaced
 
