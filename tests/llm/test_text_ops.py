@@ -81,8 +81,10 @@ def test_near_dedup_rows_of_one_id(spark):
     assert got == [(3, 3, True), (5, 5, True), (7, 3, False), (7, 3, False), (9, 3, False), (9, 3, False)]
 
 
-def test_near_dedup_hot_groups(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_near_dedup_hot_groups(spark, monkeypatch, few):
     """A bucket and a group that hold most rows go the way of hubs and blocks."""
+    monkeypatch.setattr(common, "PLAIN_ROWS", few)
     rng = np.random.default_rng(11)
     base = [f"w{i}" for i in range(120)]
     rows = [(i, edited(rng, base, rng.uniform(0, 0.08))) for i in range(900)]
@@ -264,7 +266,9 @@ def test_pii_context_alone_decides(spark):
     assert {k: [x for x in v if x[0] not in ("card", "phone")] for k, v in found.items()} == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "PLAIN_ROWS", few)
     rng = np.random.default_rng(4)
     links = [tuple(map(int, rng.integers(0, 300, 2))) for _ in range(220)] + [(i, i + 1) for i in range(400, 500)]
     frame = spark.createDataFrame(links, "a long, b long")
@@ -283,5 +287,18 @@ def test_shingle_hashes():
     assert got[0].tolist() == got[3].tolist() and [len(x) for x in got] == [2, 0, 0, 2, 1]
 
 
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_hub_join(spark, monkeypatch, few):
+    """Hot, rare, null and unmatched keys, inner and outer, on both sides of the limit."""
+    monkeypatch.setattr(common, "PLAIN_ROWS", few)
+    keys = [1] * 500 + [2] * 70 + [3] * 5 + [None] * 90 + [9] * 100
+    left = spark.createDataFrame(list(enumerate(keys)), "i int, k int")
+    right = spark.createDataFrame([(1, 500, "a"), (2, 70, "b"), (3, 5, "c"), (4, 0, "d")], "of int, n int, v string")
+    names = {1: "a", 2: "b", 3: "c"}
+    for outer in (False, True):
+        got = sorted(map(tuple, common.hub_join(left, right, "k", "of", "n", 765, outer).collect()))
+        assert got == [(i, k, names.get(k)) for i, k in enumerate(keys) if outer or k in names]
+
+
 def test_shared_dir(spark):
     assert common.shared_dir(spark) == common.shared_dir(spark)
