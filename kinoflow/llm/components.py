@@ -16,8 +16,8 @@ from kinoflow.llm.common import cut, hub_join
 
 def _star(ends: DataFrame, rows: int) -> DataFrame:
     """``ends``: (u, v). The smallest of u and its v, as m, beside each v."""
-    least = ends.groupBy(F.col("u").alias("w")).agg(F.least(F.first("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
-    return hub_join(ends, least, "u", "w", "n", rows)
+    least = ends.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("low"), F.count("*").alias("n"))
+    return hub_join(ends, least, "u", "w", "n", rows).select("u", "v", F.least("u", "low").alias("m"))
 
 
 def _sign(edges: DataFrame):

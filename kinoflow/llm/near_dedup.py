@@ -223,13 +223,16 @@ def near_duplicates(
     far = spokes.where("m > 2").join(linked, (F.col("pivot") == F.col("a")) & (F.col("rep") == F.col("b")), "left_anti")
     open_buckets = far.select(F.col("bucket").alias("of"), F.col("m").alias("size"), F.lit(True).alias("open")).distinct()
     rest = cut(hub_join(within, open_buckets, "bucket", "of", "size", within.count()).select("bucket", "m", "rep", "n", "pivot"))
-    more = _links_in_blocks(rest, linked, sets, percent)
+    more = linked.limit(0) if rest.isEmpty() else _links_in_blocks(rest, linked, sets, percent)
     # Rows of one id with different sets are one document: links between the sets' representatives.
     ids = real.groupBy("doc_id").agg(F.min("low").alias("l0"), F.max("low").alias("l1"), F.min("high").alias("h0"), F.max("high").alias("h1"))
     ids = ids.where("l0 != l1 or h0 != h1").select(F.col("doc_id").alias("id"))
-    doubles = real.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("low").alias("l"), F.col("high").alias("h"), "doc_id")
-    doubles = reps.join(doubles, (F.col("low") == F.col("l")) & (F.col("high") == F.col("h"))).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    named = connected_components(linked.unionByName(more).unionByName(doubles))
+    links = linked.unionByName(more)
+    if not ids.isEmpty():
+        doubles = real.join(ids, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("low").alias("l"), F.col("high").alias("h"), "doc_id")
+        doubles = reps.join(doubles, (F.col("low") == F.col("l")) & (F.col("high") == F.col("h")))
+        links = links.unionByName(doubles.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    named = connected_components(links)
 
     by_set = (
         reps.join(named, F.col("rep") == F.col("node"), "left")
