@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinoflow.llm import decontaminate, language_id, line_dedup, near_dedup, sentencepiece_viterbi
-from kinoflow.llm.common import passing, shared_dir
+from kinoflow.llm.common import kept, passing, shared_dir
 from kinoflow.llm.queries import table, tokenizer_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -51,12 +51,15 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """
     found = near_dedup.near_duplicates(docs, shingle=5, percent=80)
     per = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("first"), F.count_if(F.col("n_shingles") > 0).alias("n"))
-    gone = per.where("not first").select(F.col("doc_id").alias("gone"))
+    decided = kept(per.where("not first or n > 1"), "near-copies")  # so the operator's plan runs once
+    gone = decided.where("not first").select(F.col("doc_id").alias("gone"))
     rest = docs.select(COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    several = per.where("first and n > 1").select(F.col("doc_id").alias("several"))  # texts of repeated ids alone are shuffled
+    several = decided.where("first and n > 1").select(F.col("doc_id").alias("several"))
+    if several.isEmpty():
+        return rest
     worded = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
     once = rest.join(several, (F.col("doc_id") == F.col("several")) & worded, "left_anti")
-    first = rest.where(worded).join(several, F.col("doc_id") == F.col("several"), "left_semi")
+    first = rest.where(worded).join(several, F.col("doc_id") == F.col("several"), "left_semi")  # texts of repeated ids alone
     first = first.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
     return once.unionByName(first).select(COLUMNS)
 
