@@ -16,6 +16,8 @@ from kinoflow.llm.word_cache import encode_words, give_back, per_text
 
 BLANK = "▁"
 BASE = np.uint64(0x100000001B3)
+#: Words whose pieces a worker keeps; as the last stage of a pipeline it runs beside executors that are already full.
+KEPT_WORDS = 400_000
 
 
 @dataclass(frozen=True)
@@ -193,7 +195,7 @@ class Encoder:
             begins[1:] |= line[:-1]
         begins[bounds[:-1][np.diff(bounds) > 0]] = True
         starts = np.flatnonzero(begins)
-        ids, counts = encode_words(data, starts, np.append(starts[1:], len(raw)), self._encode_words, self.key)
+        ids, counts = encode_words(data, starts, np.append(starts[1:], len(raw)), self._encode_words, self.key, KEPT_WORDS)
         return ids.view(np.int32), per_text(counts, starts, bounds)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from kinoflow.llm.hashing import mix64
 
 MOST = 690_000
-KEPT = 4 << 20  # eights of bytes that a table keeps of long words before it begins anew
+KEPT = 1 << 20  # eights of bytes that a table keeps of long words before it begins anew
 SPAN = 1 << 20  # bytes looked at together; a longer word is looked at alone
 WEIGHT = 0x9E3779B97F4A7C15 | 1
 UNWEIGHT = pow(WEIGHT, -1, 1 << 64)
@@ -77,10 +77,9 @@ class WordTable:
         self.entry = np.full(1 << self.bits, -1, np.int32)
         self.size = self.used = self.kept = 0
         # Zeros take no memory until they are written, so there is room for all entries from the start.
-        for name in ("keys", "head", "tail"):
-            setattr(self, name, np.zeros(2 * self.most, np.uint64))
+        self.head, self.tail = np.zeros(2 * self.most, np.uint64), np.zeros(2 * self.most, np.uint64)
         self.length, self.count = np.zeros(2 * self.most, np.int32), np.zeros(2 * self.most, np.int32)
-        self.first, self.inner = np.zeros(2 * self.most, np.int64), np.zeros(2 * self.most, np.int64)
+        self.first, self.inner = np.zeros(2 * self.most, np.int64), np.zeros(2 * self.most, np.int32)
         self.ids, self.eights = np.zeros(16 * self.most, np.uint32), np.zeros(1 << 16, np.uint64)
 
     @property
@@ -92,8 +91,8 @@ class WordTable:
 
     def _same(self, words: Words, at: np.ndarray, entry: np.ndarray) -> np.ndarray:
         """Whether these words are those of the entries, byte by byte."""
-        same = (self.keys[entry] == words.h[at]) & (self.length[entry] == words.length[at])
-        same &= (self.head[entry] == words.head[at]) & (self.tail[entry] == words.tail[at])
+        same = (self.head[entry] == words.head[at]) & (self.length[entry] == words.length[at])
+        same &= self.tail[entry] == words.tail[at]
         if len(long := np.flatnonzero(same & (words.length[at] > 16))):
             own, n = words.inner(at[long])
             firsts = np.cumsum(n) - n
@@ -118,13 +117,13 @@ class WordTable:
     def add(self, words: Words, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         n = len(at)
         grown = lambda x, need: x if len(x) >= need else np.concatenate([x, np.zeros(max(need, 2 * len(x)) - len(x), x.dtype)])
-        for name in ("keys", "head", "tail", "length", "first", "inner", "count"):
+        for name in ("head", "tail", "length", "first", "inner", "count"):
             setattr(self, name, grown(getattr(self, name), self.size + n))
         eights, many = words.inner(at)
         self.ids = grown(self.ids, self.used + len(ids))
         self.eights = grown(self.eights, self.kept + len(eights))
         new = slice(self.size, self.size + n)
-        self.keys[new], self.head[new], self.tail[new] = words.h[at], words.head[at], words.tail[at]
+        self.head[new], self.tail[new] = words.head[at], words.tail[at]
         self.length[new], self.count[new] = words.length[at], counts
         self.first[new] = self.used + np.cumsum(counts) - counts
         self.inner[new] = self.kept + np.cumsum(many) - many
