@@ -154,12 +154,7 @@ ORACLES = {
       rk AS (SELECT *, row_number() OVER (PARTITION BY stream_id, start_pts, bucket
         ORDER BY strict DESC, CASE WHEN strict THEN quality ELSE sharpness END DESC, pts, seq) AS nth FROM ch)
       SELECT stream_id, start_pts, bucket, pts, strict, CAST(quality AS DOUBLE) AS quality FROM rk WHERE nth = 1""",
-    "scene_assoc": spaced(CORR, HCAND, 200, """SELECT stream_id, pts, start_pts FROM (
-        SELECT stream_id, pts, pick, last_value(CASE WHEN NOT pick THEN pts END IGNORE NULLS)
-          OVER (PARTITION BY stream_id ORDER BY pts, pick ROWS UNBOUNDED PRECEDING) AS start_pts
-        FROM (SELECT stream_id, seq * 40 AS pts, TRUE AS pick FROM fr WHERE seq % 5 = 0 UNION ALL SELECT stream_id, pts, FALSE FROM cuts))
-      WHERE pick AND start_pts IS NOT NULL"""),
-    "scene_assoc_all": spaced(CORR, HCAND, 200, """SELECT f.stream_id, f.seq * 40 AS pts, coalesce(
+    "scene_assoc": spaced(CORR, HCAND, 200, """SELECT f.stream_id, f.seq * 40 AS pts, coalesce(
         last_value(c.pts IGNORE NULLS) OVER (PARTITION BY f.stream_id ORDER BY f.seq ROWS UNBOUNDED PRECEDING),
         min(f.seq * 40) OVER (PARTITION BY f.stream_id)) AS start_pts
       FROM fr f LEFT JOIN cuts c ON c.stream_id = f.stream_id AND c.pts = f.seq * 40"""),

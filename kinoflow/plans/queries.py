@@ -166,15 +166,6 @@ def keyframe_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scene_assoc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth frame, and the scene between two histogram cuts that holds it."""
-    cuts = detectors.histogram_cuts(lineitem_frames(spark, sf_dir), HIST)
-    after = F.lead("pts").over(Window.partitionBy("stream_id").orderBy("pts"))
-    scenes = cuts.select("stream_id", F.col("pts").alias("start_pts"), F.coalesce(after, F.lit(1 << 62)).alias("end_pts"))
-    picks = lineitem_rows(spark, sf_dir).where("seq % 5 = 0").select("stream_id", "pts")
-    return keyframes.scene_of(picks, scenes).select("stream_id", "pts", "start_pts")
-
-
-def scene_assoc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frame, and its scene: from a histogram cut, or the stream's first frame, up to the next cut."""
     rows = lineitem_rows(spark, sf_dir).select("stream_id", "pts")
     cuts = detectors.histogram_cuts(lineitem_frames(spark, sf_dir), HIST).select("stream_id", F.col("pts").alias("start_pts"))

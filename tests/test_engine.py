@@ -39,7 +39,7 @@ def test_oracle(spark, sf, name):
 
 
 def test_every_frame_has_a_scene(spark, sf):
-    got = [tuple(r) for r in QUERIES["scene_assoc_all"](spark, sf).select("stream_id", "pts").collect()]
+    got = [tuple(r) for r in QUERIES["scene_assoc"](spark, sf).select("stream_id", "pts").collect()]
     want = [tuple(r) for r in S.lineitem_rows(spark, sf).select("stream_id", "pts").collect()]
     assert sorted(got) == sorted(want)
 
