@@ -17,7 +17,9 @@ from kinoflow.llm.word_cache import encode_words, give_back, per_text
 BLANK = "▁"
 BASE = np.uint64(0x100000001B3)
 #: Words whose pieces a worker keeps; as the last stage of a pipeline it runs beside executors that are already full.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
+#: Characters of words split together: each takes about 60 bytes.
+CELLS = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -199,17 +201,17 @@ class Encoder:
         return ids.view(np.int32), per_text(counts, starts, bounds)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        by_size: dict[int, list[str]] = {}
-        words = [w.replace(" ", BLANK) for w in words]
-        for word in words:
-            by_size.setdefault(len(word), []).append(word)
-        done: dict[str, bytes] = {}
+        by_size: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            by_size.setdefault(len(word), []).append(i)
+        done = [b""] * len(words)
         for n, group in by_size.items():
-            step = max(1, (1 << 19) // n)
+            step = max(1, CELLS // n)
             for k in range(0, len(group), step):
                 part = group[k : k + step]
-                done.update(zip(part, self._best(part), strict=True))
-        return np.frombuffer(b"".join(map(done.__getitem__, words)), "<u4"), np.array([len(done[w]) // 4 for w in words], np.int64)
+                for i, ids in zip(part, self._best([words[i].replace(" ", BLANK) for i in part]), strict=True):
+                    done[i] = ids
+        return np.frombuffer(b"".join(done), "<u4"), np.array([len(x) // 4 for x in done], np.int64)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 of the text that ids spell: pieces and bytes joined, the first blank taken off."""
@@ -249,7 +251,9 @@ def encode(docs: DataFrame, vocabulary: Pieces, text_col: str = "text", ids_col:
 
     @F.arrow_udf("array<int>")
     def run(text: pa.Array) -> pa.Array:
-        return _encode_batch(get(), text)[0]
+        ids = _encode_batch(get(), text)[0]
+        give_back()
+        return ids
 
     return docs.withColumn(ids_col, run(F.col(text_col)))
 
@@ -284,6 +288,7 @@ def round_trip(
     @F.arrow_udf("struct<ids:array<int>,exact:boolean>")
     def run(text: pa.Array) -> pa.Array:
         ids, exact = _encode_batch(get(), text, decoded=True)
+        give_back()  # idle workers of the same executor keep what they hold
         return pa.StructArray.from_arrays([ids, pa.array(exact, pa.bool_())], ["ids", "exact"])
 
     names = [c for c in docs.columns if c not in (ids_col, exact_col)]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,33 +19,54 @@ from kinoflow.llm.hashing import mix64
 
 MOST = 690_000
 KEPT = 1 << 20  # eights of bytes that a table keeps of long words before it begins anew
-SPAN = 1 << 20  # bytes looked at together; a longer word is looked at alone
+SPAN = 1 << 20  # bytes whose new words are encoded together; a longer word is taken alone
+NEW = 1 << 14  # new words encoded at once: as Python's strings they take some 200 bytes each
+PART = 1 << 16  # bytes hashed and looked up together
 WEIGHT = 0x9E3779B97F4A7C15 | 1
 UNWEIGHT = pow(WEIGHT, -1, 1 << 64)
 _TABLES: dict[object, WordTable] = {}
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """WEIGHT ** i and UNWEIGHT ** i, modulo 2 ** 64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """WEIGHT ** i and UNWEIGHT ** i, modulo 2 ** 64, for i up to PART."""
+    if not _POWERS:
         made = []
         for base in (WEIGHT, UNWEIGHT):
-            x = np.full(size, base, np.uint64)
+            x = np.full(PART + 1, base, np.uint64)
             x[0] = 1
             made.append(np.cumprod(x, dtype=np.uint64))
         _POWERS[:] = made
-    return _POWERS[0][:n], _POWERS[1][:n]
+    return _POWERS[0], _POWERS[1]
+
+
+def runs(starts: np.ndarray, ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of words (from, to) of at most ``most`` bytes from the first's start to the last's end, or a single word."""
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + most, side="right")))
+        yield at, stop
+        at = stop
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], for starts and ends in order."""
-    low, high = int(starts[0]), int(ends[-1])
-    up, down = _powers(high - low + 1)
-    sums = np.zeros(high - low + 1, np.uint64)
-    np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return mix64((sums[ends - low] - sums[starts - low]) * down[starts - low] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of data[start:end], for starts and ends in order. Memory: that of PART bytes and the hashes."""
+    up, down = _powers()
+    values = np.empty(len(starts), np.uint64)
+    for a, b in runs(starts, ends, PART):
+        low, high = int(starts[a]), int(ends[b - 1])
+        if high - low > PART:  # one long word
+            whole = 0
+            for at in range(low, high, PART):
+                part = data[at : min(at + PART, high)].astype(np.uint64) + np.uint64(1)
+                whole += int((part * up[: len(part)]).sum()) * pow(WEIGHT, at - low, 1 << 64)
+            values[a] = whole % (1 << 64)
+            continue
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
+        s, e = starts[a:b] - low, ends[a:b] - low
+        values[a:b] = (sums[e] - sums[s]) * down[s]
+    return mix64(values + (ends - starts).astype(np.uint64))
 
 
 class Words:
@@ -71,16 +92,23 @@ class WordTable:
     def __init__(self, most: int = MOST):
         self.most = most
         self.bits = max(10, int(3 * most - 1).bit_length())
+        self.entry = np.empty(1 << self.bits, np.int32)
+        # Zeros take no memory until they are written, so there is room for all entries from the start.
+        self.head, self.tail = np.zeros(2 * most, np.uint64), np.zeros(2 * most, np.uint64)
+        self.length, self.count = np.zeros(2 * most, np.int32), np.zeros(2 * most, np.int32)
+        self.first, self.inner = np.zeros(2 * most, np.int64), np.zeros(2 * most, np.int32)
+        self.ids, self.eights = np.zeros(16 * most, np.uint32), np.zeros(1 << 16, np.uint64)
         self.clear()
 
     def clear(self) -> None:
-        self.entry = np.full(1 << self.bits, -1, np.int32)
+        """Begins anew in the same arrays: new ones would come from memory in use before, and be written whole. Only
+        those that long words made larger go."""
+        self.entry.fill(-1)
         self.size = self.used = self.kept = 0
-        # Zeros take no memory until they are written, so there is room for all entries from the start.
-        self.head, self.tail = np.zeros(2 * self.most, np.uint64), np.zeros(2 * self.most, np.uint64)
-        self.length, self.count = np.zeros(2 * self.most, np.int32), np.zeros(2 * self.most, np.int32)
-        self.first, self.inner = np.zeros(2 * self.most, np.int64), np.zeros(2 * self.most, np.int32)
-        self.ids, self.eights = np.zeros(16 * self.most, np.uint32), np.zeros(1 << 16, np.uint64)
+        if len(self.ids) > 16 * self.most:
+            self.ids = np.zeros(16 * self.most, np.uint32)
+        if len(self.eights) > 2 * KEPT:
+            self.eights = np.zeros(1 << 16, np.uint64)
 
     @property
     def full(self) -> bool:
@@ -167,27 +195,35 @@ def encode_words(
         _TABLES[key] = WordTable(most)
     table = _TABLES[key]
     padded = np.frombuffer(data + bytes(8), np.uint8)
-    parts, counts, at = [], [], 0
-    while at < len(starts):
-        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + SPAN, side="right")))
-        stop = min(stop, at + table.most)  # so the table, of three slots for each of ``most``, never fills
-        s, e = starts[at:stop], ends[at:stop]
-        at = stop
-        if table.full:
-            table.clear()
-        words = Words(padded, s, e)
-        found = table.find(words)
-        while len(holes := np.flatnonzero(found < 0)):
-            _, once = np.unique(words.h[holes], return_index=True)  # different words of one hash come in further rounds
-            once = holes[once]
-            new = [data[i:j].decode() for i, j in zip(s[once].tolist(), e[once].tolist(), strict=True)]
-            table.add(words, once, *encode(new))
-            found[holes] = table.find(words, holes)
-        n = table.count[found].astype(np.int64)
-        done = np.cumsum(n)
-        total = int(done[-1]) if len(done) else 0
-        parts.append(table.ids[np.arange(total) + np.repeat(table.first[found] - (done - n), n)])
-        counts.append(n)
+    parts, counts = [], []
+    for low, high in runs(starts, ends, SPAN):
+        for at in range(low, high, table.most):  # so the table, of three slots for each of ``most``, never fills
+            s, e = starts[at : min(at + table.most, high)], ends[at : min(at + table.most, high)]
+            if table.full:
+                table.clear()
+            found = np.empty(len(s), np.int64)
+            new: list[np.ndarray] = []
+            for a, b in runs(s, e, PART):
+                words = Words(padded, s[a:b], e[a:b])
+                found[a:b] = table.find(words)
+                new.append(words.h[found[a:b] < 0])
+            holes, hashes = np.flatnonzero(found < 0), np.concatenate(new)
+            while len(holes):
+                _, once = np.unique(hashes, return_index=True)  # different words of one hash come in further rounds
+                once = once[np.argsort((e - s)[holes[once]], kind="stable")]  # words of one length are encoded together
+                for k in range(0, len(once), NEW):
+                    own = once[k : k + NEW]
+                    first, last = s[holes[own]], e[holes[own]]
+                    ids, n = encode([data[i:j].decode() for i, j in zip(first.tolist(), last.tolist(), strict=True)])
+                    table.add(Words(padded, first, last, hashes[own]), np.arange(len(own)), ids, n)
+                found[holes] = table.find(Words(padded, s[holes], e[holes], hashes))
+                left = found[holes] < 0
+                holes, hashes = holes[left], hashes[left]
+            for a, b in runs(s, e, PART):
+                n = table.count[found[a:b]].astype(np.int64)
+                done = np.cumsum(n)
+                parts.append(table.ids[np.arange(int(done[-1])) + np.repeat(table.first[found[a:b]] - (done - n), n)])
+                counts.append(n)
     return np.concatenate([*parts, np.empty(0, np.uint32)]), np.concatenate([*counts, np.empty(0, np.int64)])
 
 

@@ -683,3 +683,64 @@ def test_round_trip(spark, pieces):
     assert sorted((r.doc_id, r.ids, r.exact) for r in found.collect()) == want
     assert [x[0] for x in want if not x[2]] == [3]
     assert sentencepiece_viterbi.round_trip(docs.limit(0), pieces).count() == 0
+
+
+def test_word_hashes_of_any_length():
+    """Against the sum they are defined by: words across the parts that are hashed together, and longer than a part."""
+    from kinoflow.llm import word_cache
+    from kinoflow.llm.hashing import mix64
+
+    rng = np.random.default_rng(5)
+    size = rng.integers(1, 4000, 200)
+    size[[3, 70, 71, 199]] = [3 * word_cache.PART + 5, word_cache.PART, word_cache.PART + 1, 2 * word_cache.PART]
+    ends = np.cumsum(size + 2)
+    starts = ends - size
+    data = rng.integers(0, 256, int(ends[-1]), dtype=np.uint8)
+    want = []
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        total = 0
+        for x in data[a:b].tolist()[::-1]:
+            total = (total * word_cache.WEIGHT + x + 1) % (1 << 64)
+        want.append((total + b - a) % (1 << 64))
+    assert word_cache.word_hashes(data, starts, ends).tolist() == mix64(np.array(want, np.uint64)).tolist()
+
+
+ENCODES_MANY_WORDS = r"""
+import pickle, re, sys
+import numpy as np
+from kinoflow.llm import sentencepiece_viterbi
+
+def status(what):
+    return int(re.search(what + r":\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+with open(sys.argv[1], "rb") as f:
+    encoder = sentencepiece_viterbi.Encoder(pickle.load(f))
+rng = np.random.default_rng(6)
+letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+word = lambda n: list(map("".join, letters[rng.integers(0, 26, (n, 6))]))
+often = word(5000)
+before = status("VmRSS")
+for _ in range(24):
+    new = word(40_000)
+    text = " ".join([x for k in range(0, 40_000, 400) for x in new[k : k + 400] + often[k % 4600 : k % 4600 + 400]]).encode()
+    ids, counts = encoder.encode([text])
+    assert counts[0] == len(ids) and encoder.decode(ids) == text
+print(status("VmHWM") - before)
+"""
+
+
+def test_memory_of_an_encoding_worker(pieces, tmp_path):
+    """Nearly a million words, so that the table of words begins anew more than once: four such workers stand beside one
+    executor at the pipeline's end."""
+    import pickle
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    if not Path("/proc/self/status").exists():
+        pytest.skip("memory is read from /proc")
+    (tmp_path / "pieces").write_bytes(pickle.dumps(pieces))
+    root = Path(sentencepiece_viterbi.__file__).resolve().parents[2]
+    run = subprocess.run([sys.executable, "-c", ENCODES_MANY_WORDS, str(tmp_path / "pieces")], cwd=root, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr
+    assert float(run.stdout) < 90
