@@ -202,7 +202,8 @@ def identify(
         return docs.select(*names, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"),
                            F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("accepted"))
     small_batches(docs.sparkSession)
-    score = scorer(model)
+    # A filter on what is added would go below it with a copy of the scoring: each text scored twice, by two workers a task.
+    score = scorer(model).asNondeterministic()
     text = F.col(text_col)
     ll, post, key, final, host_of, own_of, domain_of = spare(docs.columns, "ll", "post", "key", "final", "h", "own", "p_domain")
     rows = docs.select(*names).withColumn(ll, score(visible(text))).withColumn(post, F.slice(softmax_of(F.col(ll)), 1, n))

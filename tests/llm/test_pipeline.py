@@ -66,6 +66,13 @@ def test_language_stage_rejects(spark, sf):
     assert sorted(r["doc_id"] for r in out.where("doc_id < 0").collect()) == [-6, -5, -5]
 
 
+def test_language_stage_scores_once(spark, sf):
+    """Host sums are written by then, so one scoring is left: a second one doubles the Python workers beside an executor."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = corpus_pipeline.keep_languages(spark, docs, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_line_stage_odd(spark, sf):
     line = "a line of more than forty characters that many hold"
     rows = [(i, f"{line}\nown {i}") for i in range(5)] + [(7, None), (8, ""), (9, line), (9, line), (None, f"{line}\nx"), (3, "z" * 100_000)]
