@@ -218,6 +218,7 @@ def near_duplicates(
         .where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
         .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
         .distinct()
+        .repartition("a", "b")  # as few files as the links fill, not one for each partition of shingles
     )
 
     far = spokes.where("m > 2").join(linked, (F.col("pivot") == F.col("a")) & (F.col("rep") == F.col("b")), "left_anti")

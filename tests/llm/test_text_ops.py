@@ -1,6 +1,8 @@
 """Line dedup, near dedup, decontamination and personal data against plain restatements."""
 
 import hashlib
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import brute
 import numpy as np
@@ -92,6 +94,20 @@ def test_near_dedup_hot_groups(spark, monkeypatch, few):
     assert as_dict(near_dedup.near_duplicates(docs(spark, rows), 2)) == brute.near_duplicates(rows, 2)
 
 
+def test_kept_tables_have_no_checksum_files(spark):
+    """Each such file costs the executor a child process; the checksums in the pages find damage instead."""
+    table = common.kept(spark.range(0, 20_000, 1, 2).selectExpr("id", "hash(id) AS x"), "summed")
+    folder = Path(unquote(urlparse(table.inputFiles()[0]).path)).parent
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, spark.range(20_000).selectExpr("id", "hash(id) AS x").collect()))
+    assert not list(folder.rglob("*.crc"))
+    for part in folder.glob("part-*"):
+        data = bytearray(part.read_bytes())
+        data[len(data) // 2] ^= 1
+        part.write_bytes(data)
+    with pytest.raises(Exception, match="(?i)crc"):
+        spark.read.options(**common.VERIFIED).schema(table.schema).parquet(str(folder)).collect()
+
+
 def test_block_linker_equals_pairs():
     import pyarrow as pa
 
