@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+
 from kinoflow.options import AdaptiveOptions, ContentOptions, HistogramOptions, PhashOptions, ThresholdOptions
 from kinoflow.timebase import Timebase, lasts, ticks_of
 
@@ -44,6 +47,41 @@ class ScoredSpacing(Spacing):
         return row["score"] is not None
 
 
+class AdaptiveSpacing:
+    """Adaptive cuts of scores in order, run by run: the ratio of ``detectors.adaptive_ratios``, then the spacing rule."""
+
+    def __init__(self, options: AdaptiveOptions):
+        self.o, self.spacing, self.held = options, Spacing(options), None
+
+    def push_batch(self, batch: pa.RecordBatch) -> list[dict]:
+        o, w = self.o, self.o.window_width
+        batch = batch.filter(batch.column("score").is_valid())
+        cols = {c: batch.column(c).to_numpy() for c in ("pts", "tb_num", "tb_den", "score")}
+        if self.held:
+            cols = {c: np.concatenate([self.held[c], v]) for c, v in cols.items()}
+        n = len(cols["score"]) - 2 * w
+        self.held = {c: v[-2 * w :].copy() for c, v in cols.items()}
+        if n <= 0:
+            return []
+        total = np.zeros(n)
+        for k in range(2 * w + 1):
+            total = total + cols["score"][k : k + n]
+        score = cols["score"][w : w + n]
+        with np.errstate(all="ignore"):
+            mean = (total - score) / (2.0 * w)
+            still = np.where(score >= o.min_content_val, 255.0, 0.0)
+            ratio = np.where(np.abs(mean) < 1e-5, still, np.fmin(score / mean, 255.0))
+        hit = (ratio >= o.adaptive_threshold) & (score >= o.min_content_val) & ~np.isnan(score)
+        out = []
+        for i in np.flatnonzero(hit).tolist() if self.spacing.last is not None else range(n):
+            row = {c: cols[c][w + i].item() for c in ("pts", "tb_num", "tb_den")}
+            out += self.spacing.push(row | {"score": float(ratio[i]), "candidate": bool(hit[i])})
+        return out
+
+    def finish(self) -> list[dict]:
+        return []
+
+
 class FlashFilter:
     """Content cuts: ``suppress`` drops what comes too soon; ``merge`` holds a burst back and reports its end."""
 

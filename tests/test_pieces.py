@@ -1,10 +1,22 @@
 """Streams in pieces, packed runs of features, and results that mustn't depend on how sums are ordered."""
 
+import os
+
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from kinoflow.functions import kernels as K
+from kinoflow.operators import detectors
+from kinoflow.operators.features import compute_features
+from kinoflow.operators.gates import FlashFilter
+from kinoflow.options import ContentOptions
 from kinoflow.plans.machine_oracles import EMB
+from kinoflow.plans.registry import ORACLES, QUERIES
+from kinoflow.sources import frames as S
+
+MS = 1_000_000
 
 
 def test_hash_bits_at_the_median_are_those_of_double_precision():
@@ -23,3 +35,77 @@ def test_hash_bits_at_the_median_are_those_of_double_precision():
     want = con.execute(f"WITH {EMB} SELECT seq, k, b FROM bt ORDER BY seq, k").fetchall()
     got = np.unpackbits(K.phash(planes, 6, 1).view(np.uint8), axis=1, bitorder="little")[:, :36]
     assert [b for _, _, b in want] == got.reshape(-1).astype(bool).tolist()
+
+
+def plain(v):
+    return round(v, 9) if isinstance(v, float) else v
+
+
+def in_small_pieces(spark, sf, monkeypatch, name):
+    """(rows of the query over pieces of a few frames, rows of its SQL)."""
+    monkeypatch.setattr(S, "SPAN", 200)
+    con = duckdb.connect()
+    for t in os.listdir(sf):
+        con.sql(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{sf}/{t}'")
+    df = QUERIES[name](spark, sf)
+    names = sorted(df.columns)
+    got = sorted([tuple(plain(r[c]) for c in names) for r in df.collect()], key=repr)
+    return got, sorted([tuple(map(plain, r)) for r in con.sql(f"SELECT {', '.join(names)} FROM ({ORACLES[name]})").fetchall()], key=repr)
+
+
+@pytest.mark.parametrize(
+    "name", ["hist_cuts", "content_cuts_suppress", "content_cuts_merge", "content_cuts_default", "adaptive_cuts_frames", "fade_cuts_gated", "edge_delta"]
+)
+def test_small_pieces_give_the_same_rows(spark, sf, monkeypatch, name):
+    got, want = in_small_pieces(spark, sf, monkeypatch, name)
+    assert got and got == want
+
+
+@pytest.mark.parametrize("name", ["mean_abs_diff", "hist_correlation", "content_score", "content_score_edges", "plane_correlations", "phash_distance", "edge_delta"])
+def test_planes_of_derived_frames_are_not_shuffled(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # the frames are drawn and looked at in one stage
+    assert "Exchange" not in plan[: plan.rindex("MapInArrow")]
+
+
+def test_streams_are_numbered_by_more_than_one_task(spark, sf):
+    plan = S.lineitem_rows(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "row_number()" in line and "Window" in line]
+    assert windows and all("_piece" in line for line in windows)
+
+
+@pytest.mark.parametrize("name", ["hist_cuts", "hist_cuts_default", "content_cuts_suppress", "content_cuts_merge", "content_cuts_default", "adaptive_cuts_frames", "fade_cuts_gated"])
+def test_only_packed_runs_go_to_the_tasks_of_whole_streams(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    by_stream = [line for line in plan.splitlines() if "Exchange hashpartitioning(stream_id" in line and "_piece" not in line]
+    assert len(by_stream) == 2  # packed runs, and the counts of pieces
+    assert "Window" not in plan[: plan.index("MapInArrow", plan.index("packed"))].split("MapInArrow", 2)[1]
+
+
+def test_a_piece_without_the_frame_before_it_is_refused(spark, sf):
+    cut = S.lineitem_pieces(spark, sf).where("not only_before")
+    assert compute_features(cut, ("luma_mean",)).count() > 0
+    rows = cut.withColumn("of", cut.seq - 1)
+    with pytest.raises(Exception, match="lacks the frame before it"):
+        compute_features(rows, ("d_lum",)).collect()
+
+
+def test_rows_left_out_don_t_change_the_flash_filter():
+    rng = np.random.default_rng(5)
+    for k in range(300):
+        n = int(rng.integers(1, 80))
+        pts = np.cumsum(rng.choice([0, 40, 40, 40, 400], n))
+        score, there = rng.choice([0.0, 50.0], n, p=[p := rng.uniform(0.1, 0.9), 1 - p]), rng.random(n) < 0.95
+        options = ContentOptions(min_duration=200 * MS, filter_mode=("merge", "suppress")[k % 2], initial_cut=bool(k % 3))
+        rows = [{"pts": int(t), "tb_num": 1, "tb_den": 1000, "score": float(v) if at else None} for t, v, at in zip(pts, score, there)]
+        whole, thin, kept = FlashFilter(options), FlashFilter(options), 0
+        want = [c for row in rows for c in whole.push(row)]
+        got, at = [], 0
+        while at < n:
+            end = min(n, at + int(rng.integers(1, 30)))
+            cols = {"pts": pa.array(pts[at:end]), "tb_num": pa.array(np.full(end - at, 1)), "tb_den": pa.array(np.full(end - at, 1000))}
+            keep = detectors.flash_rows(score[at:end], there[at:end], cols, options)
+            keep[0] = keep[-1] = True
+            got += [c for row, live in zip(rows[at:end], keep) if live for c in thin.push(row)]
+            kept, at = kept + keep.sum(), end
+        assert got == want
