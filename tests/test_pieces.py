@@ -8,10 +8,11 @@ import pyarrow as pa
 import pytest
 
 from kinoflow.functions import kernels as K
-from kinoflow.operators import detectors
+from kinoflow.functions.columns import METRICS
+from kinoflow.operators import cascade, detectors
 from kinoflow.operators.features import compute_features
 from kinoflow.operators.gates import FlashFilter
-from kinoflow.options import ContentOptions
+from kinoflow.options import AdaptiveOptions, ContentOptions, HistogramOptions, SceneOptions, SelectOptions, ThresholdOptions
 from kinoflow.plans.machine_oracles import EMB
 from kinoflow.plans.registry import ORACLES, QUERIES
 from kinoflow.sources import frames as S
@@ -54,7 +55,7 @@ def in_small_pieces(spark, sf, monkeypatch, name):
 
 
 @pytest.mark.parametrize(
-    "name", ["hist_cuts", "content_cuts_suppress", "content_cuts_merge", "content_cuts_default", "adaptive_cuts_frames", "fade_cuts_gated", "edge_delta"]
+    "name", ["hist_cuts", "content_cuts_suppress", "content_cuts_merge", "content_cuts_default", "adaptive_cuts_frames", "fade_cuts_gated", "edge_delta", "cascade_scenes", "cascade_keyframes"]
 )
 def test_small_pieces_give_the_same_rows(spark, sf, monkeypatch, name):
     got, want = in_small_pieces(spark, sf, monkeypatch, name)
@@ -109,3 +110,64 @@ def test_rows_left_out_don_t_change_the_flash_filter():
             got += [c for row, live in zip(rows[at:end], keep) if live for c in thin.push(row)]
             kept, at = kept + keep.sum(), end
         assert got == want
+
+
+def lane_run(rng, n, start):
+    """Arrays of a run of frames as the lanes see them."""
+    at = lambda p: (rng.random(n), rng.random(n) < p)
+    made = {c: at(0.97) for c in ("corr_luma", "corr_sat", "phash_distance")}
+    there = rng.random(n) < 0.97
+    made |= {c: (np.round(rng.choice([2.0, 40.0, 90.0], n) * rng.random(n), 3), there) for c in ("d_hue", "d_sat", "d_lum", "d_edges")}
+    made["luma_mean"] = rng.choice([10.0, 150.0], n, p=[0.2, 0.8])
+    made |= {m: (rng.random(n) * 200).astype(np.float32) for m in METRICS}
+    made["clipping"], made["motion_blur"] = (rng.random(n).astype(np.float32) for _ in range(2))
+    pts = start + np.cumsum(rng.choice([0, 40, 40, 40, 40, 300], n))
+    size = 8 if rng.random() < 0.9 else 6
+    part = {"pts": pa.array(pts), "seq": pa.array(pts), "stream_id": pa.array(pts)}
+    return part | {c: pa.array(np.full(n, v, np.int32)) for c, v in (("tb_num", 1), ("tb_den", 1000), ("width", size), ("height", 8))}, made
+
+
+def test_machine_run_by_run_equals_frame_by_frame():
+    """Random lanes, least durations and caps; the plain machine is pushed every frame with all its columns."""
+    rng, events = np.random.default_rng(11), 0
+    for k in range(120):
+        ms = lambda top: int(rng.integers(0, top)) * MS
+        first = lambda: {"min_duration": ms(1500), "initial_cut": bool(rng.random() < 0.6)}
+        lanes = [x for x in ("threshold", "luma_histogram", "sat_histogram", "phash", "content", "adaptive") if rng.random() < 0.6] or ["content"]
+        o = SceneOptions(
+            lanes=tuple(lanes), threshold=ThresholdOptions(threshold=100, add_final_scene=bool(k % 2), **first()),
+            luma_histogram=HistogramOptions(threshold=0.8, **first()), sat_histogram=HistogramOptions(threshold=0.9, **first()),
+            content=ContentOptions(weights=(1, 0.3, 0.7, k % 3), **first()), adaptive=AdaptiveOptions(adaptive_threshold=1.5, weights=(1, 1, 1, k % 2), **first()),
+            max_scene_duration=[None, 700 * MS, 3000 * MS][k % 3],
+            select=SelectOptions(target_interval=max(1, ms(2000)), min_sharpness=120.0, adaptive_min_samples=3, black_mean=20.0, max_clipping=0.9),
+        )
+        pack = cascade.packed_lanes(o)
+        plain_machine, runs, want, got, start = cascade.SceneMachine(o), cascade.SceneMachine(o), [], [], 0
+        for _ in range(int(rng.integers(1, 6))):
+            n = int(rng.integers(1, 120))
+            part, made = lane_run(rng, n, start)
+            start = part["pts"][-1].as_py()
+            lists = {c: v.to_pylist() for c, v in part.items()} | {c: v[0].tolist() if isinstance(v, tuple) else v.tolist() for c, v in made.items()}
+            known = {c: v[1] for c, v in made.items() if isinstance(v, tuple)}
+            for i in range(n):
+                want += plain_machine.push({c: v[i] if c not in known or known[c][i] else None for c, v in lists.items()})
+            got += runs.push_batch(pa.record_batch(pack.columns(part, made)))
+        want, got = want + plain_machine.finish(), got + runs.finish()
+        assert got == want, k
+        events += len(got)
+    assert events > 5000
+
+
+def test_scenes_alone_are_those_among_all_events(spark, sf):
+    frames = S.lineitem_pieces(spark, sf).where("stream_id < 4")
+    names = ["stream_id", "start_pts", "end_pts", "provenance", "score"]
+    o = SceneOptions(luma_histogram=HistogramOptions(bins=16), max_scene_duration=2000 * MS)
+    both = [sorted(map(str, cascade.scene_events(frames, o, keyframes=k).where("event_kind = 'scene'").select(names).collect())) for k in (True, False)]
+    assert both[0] and both[0] == both[1]
+
+
+@pytest.mark.parametrize("name", ["cascade_scenes", "cascade_keyframes", "cascade_events"])
+def test_the_scene_machine_gets_packed_runs(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3 and "packed" in plan
+    assert len([line for line in plan.splitlines() if "Exchange hashpartitioning(stream_id" in line and "_piece" not in line]) == 2
