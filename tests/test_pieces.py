@@ -171,3 +171,12 @@ def test_the_scene_machine_gets_packed_runs(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 3 and "packed" in plan
     assert len([line for line in plan.splitlines() if "Exchange hashpartitioning(stream_id" in line and "_piece" not in line]) == 2
+
+
+def test_joined_views_carry_no_planes_that_nobody_asked_for(spark, sf):
+    plan = QUERIES["views_join"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("MapInArrow") == 3  # each view is made once
+    lines = plan.splitlines()
+    shuffled = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning(stream_id" in line and ", seq" in line]
+    assert len(shuffled) == 3 and all("octet_length" in line for line in shuffled)
+    assert not any(f", {p}#" in line for line in shuffled for p in ("rgb", "luma", "hue", "sat", "val"))
