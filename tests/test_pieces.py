@@ -13,6 +13,7 @@ from kinoflow.operators import cascade, detectors
 from kinoflow.operators.features import compute_features
 from kinoflow.operators.gates import FlashFilter
 from kinoflow.options import AdaptiveOptions, ContentOptions, HistogramOptions, SceneOptions, SelectOptions, ThresholdOptions
+from kinoflow.plans import queries
 from kinoflow.plans.machine_oracles import EMB
 from kinoflow.plans.registry import ORACLES, QUERIES
 from kinoflow.sources import frames as S
@@ -45,6 +46,7 @@ def plain(v):
 def in_small_pieces(spark, sf, monkeypatch, name):
     """(rows of the query over pieces of a few frames, rows of its SQL)."""
     monkeypatch.setattr(S, "SPAN", 200)
+    monkeypatch.setattr(queries, "PART_BITS", 9)
     con = duckdb.connect()
     for t in os.listdir(sf):
         con.sql(f"CREATE VIEW {t.split('.')[0]} AS SELECT * FROM '{sf}/{t}'")
@@ -55,7 +57,8 @@ def in_small_pieces(spark, sf, monkeypatch, name):
 
 
 @pytest.mark.parametrize(
-    "name", ["hist_cuts", "content_cuts_suppress", "content_cuts_merge", "content_cuts_default", "adaptive_cuts_frames", "fade_cuts_gated", "edge_delta", "cascade_scenes", "cascade_keyframes"]
+    "name", ["hist_cuts", "content_cuts_suppress", "content_cuts_merge", "content_cuts_default", "adaptive_cuts_frames", "fade_cuts_gated", "edge_delta", "cascade_scenes", "cascade_keyframes",
+     "keyframes_remaining", "scene_assoc", "keyframe_choice"],
 )
 def test_small_pieces_give_the_same_rows(spark, sf, monkeypatch, name):
     got, want = in_small_pieces(spark, sf, monkeypatch, name)
@@ -180,3 +183,26 @@ def test_joined_views_carry_no_planes_that_nobody_asked_for(spark, sf):
     shuffled = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning(stream_id" in line and ", seq" in line]
     assert len(shuffled) == 3 and all("octet_length" in line for line in shuffled)
     assert not any(f", {p}#" in line for line in shuffled for p in ("rgb", "luma", "hue", "sat", "val"))
+
+
+@pytest.mark.parametrize("name", ["scene_assoc", "keyframe_choice", "effective_floor"])
+def test_frames_meet_their_shots_in_parts_of_streams(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "last(shot" in line and "Window" in line]
+    assert windows and all("_part" in line for line in windows)
+
+
+def test_whole_streams_give_their_keyframes_to_one_look_at_each_frame(spark, sf, monkeypatch):
+    """As the relational choice does, with more good frames than are sampled, and with a floor that lies below the least."""
+    from kinoflow.operators import keyframes, remaining
+
+    for o in (queries.SELECT, queries.SELECT.replace(min_sharpness=1e6, margin_ratio=0.1), queries.SELECT.replace(adaptive_floor=False, target_interval=7000 * MS)):
+        for samples in (4096, 50):
+            monkeypatch.setattr(keyframes, "SAMPLES", samples)
+            monkeypatch.setattr(remaining, "SAMPLES", samples)
+            frames = S.lineitem_frames(spark, sf).where("stream_id < 5")
+            want = keyframes.select_remaining(compute_features(frames, METRICS), o).select("stream_id", "bucket", "pts", "strict", "quality")
+            got = remaining.remaining_keyframes(S.lineitem_pieces(spark, sf).where("stream_id < 5"), o)
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = QUERIES["keyframes_remaining"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3
